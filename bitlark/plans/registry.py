@@ -1,11 +1,530 @@
-"""Registered queries of the search engine and their DuckDB SQL."""
+"""Registered queries of the search engine and their DuckDB SQL.
+
+The SQL is written another way than the engine: bits are unnested and counted, words are never built.
+"""
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import codes, fit, metrics, residual
+from ..operators import compaction, recall, search
+from ..operators.filters import All, And, Filter, IdRange, Ids, Not, Nothing, Or, Term
+from ..sources.store import Index
+from ..streaming.ingest import ingest, source
+from . import corpora
+from .explain import explain
+
+QUERY = 0  # the document whose code is the query
+
+_FILTERS: dict[str, tuple[Filter, str]] = {
+    "filter_all": (All(), "true"),
+    "filter_none": (Nothing(), "false"),
+    "filter_term": (Term(1), "t1"),
+    "filter_ids": (Ids((5, 3, 3, 7, 10**9)), "doc_id IN (5, 3, 7)"),
+    "filter_id_range": (IdRange(100, 200), "doc_id >= 100 AND doc_id < 200"),
+    "filter_and": (And((Term(1), Term(2), IdRange(10, 400))), "t1 AND t2 AND doc_id >= 10 AND doc_id < 400"),
+    "filter_and_empty": (And(), "true"),
+    "filter_or": (Or((Term(1), Ids((1, 2)), IdRange(450, 460))), "t1 OR doc_id IN (1, 2) OR (doc_id >= 450 AND doc_id < 460)"),
+    "filter_or_empty": (Or(), "false"),
+    "filter_not": (Not(Term(2)), "NOT t2"),
+    "filter_nested": (Not(Or((And((Term(1), Not(Term(2)))), And((Term(2), IdRange(0, 50)))))), "NOT ((t1 AND NOT t2) OR (t2 AND doc_id < 50))"),
+}
+
+# -- SQL building blocks -----------------------------------------------------------
+
+_SIGN = """
+bits AS (SELECT vec_id AS doc_id, (i - 1)::INTEGER AS p FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS i FROM embeddings) WHERE e > 0),
+docs AS (SELECT vec_id AS doc_id FROM embeddings),
+"""
+_TOKEN = """
+bits AS (SELECT DISTINCT doc_id, ('0x' || substr(md5(t), 1, 2))::INTEGER AS p FROM (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '[ \\n]+')) AS t FROM documents) WHERE t <> ''),
+docs AS (SELECT doc_id FROM documents),
+"""
+_COUNTS = """
+wts AS (SELECT d.doc_id, count(b.p)::INTEGER AS weight FROM docs d LEFT JOIN bits b USING (doc_id) GROUP BY d.doc_id),
+q AS (SELECT p FROM bits WHERE doc_id = 0),
+m AS (SELECT count(*)::BIGINT AS m FROM q),
+x AS (SELECT w.doc_id, w.weight, coalesce(i.a, 0)::INTEGER AS inter, m.m FROM wts w LEFT JOIN (SELECT doc_id, count(*) AS a FROM bits JOIN q USING (p) GROUP BY doc_id) i USING (doc_id), m)
+"""
+_NUM = {
+    "dot": ("inter::BIGINT", "1::BIGINT"),
+    "hamming": ("(2 * inter - m - weight)::BIGINT", "1::BIGINT"),
+    "jaccard": ("(CASE WHEN m + weight - inter = 0 THEN 0 ELSE inter END)::BIGINT", "(CASE WHEN m + weight - inter = 0 THEN 1 ELSE m + weight - inter END)::BIGINT"),
+    "cosine": ("(CASE WHEN m * weight = 0 THEN 0 ELSE inter::BIGINT * inter END)::BIGINT", "(CASE WHEN m * weight = 0 THEN 1 ELSE m * weight END)::BIGINT"),
+}
+
+
+def _scored_sql(metric: str, base: str, where: str = "true") -> str:
+    num, den = _NUM[metric]
+    return f"WITH {base} {_COUNTS}, s AS (SELECT doc_id, inter, weight, {num} AS num, {den} AS den FROM x WHERE {where})"
+
+
+def _hits_sql(metric: str, base: str, k: int = 10, where: str = "true") -> str:
+    root = metric == "cosine"
+    shown = "sqrt(num::DOUBLE / den::DOUBLE)" if root else "num::DOUBLE / den::DOUBLE"
+    return f"""{_scored_sql(metric, base, where)}
+SELECT (row_number() OVER (ORDER BY num::DOUBLE / den::DOUBLE DESC, doc_id))::INTEGER AS rank, doc_id, inter, weight, num, den, {str(root).lower()} AS square_root, {shown} AS score
+FROM s ORDER BY num::DOUBLE / den::DOUBLE DESC, doc_id LIMIT {k}"""
+
+
+_TAGGED = "(SELECT vec_id AS doc_id, vec_id % 3 = 0 AS t1, vec_id % 2 = 0 AS t2, label FROM embeddings)"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def _add(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return put
+
+
+def _sign_query(s: SparkSession, d: str) -> tuple[search.Corpus, tuple[int, ...]]:
+    c = corpora.signs(s, d)
+    return c, corpora.code_of(c, QUERY)
+
+
+def _query_words(c: search.Corpus) -> list[int]:
+    return codes.masked(corpora.code_of(c, QUERY), c.dims)
+
+
+# -- store reads -----------------------------------------------------------------
+
+
+@_add("live_count", "SELECT count(*)::BIGINT AS n FROM embeddings")
+def _live_count(s, d):
+    return corpora.signs(s, d).count()
+
+
+@_add("point_lookup", f"WITH {_SIGN} {_COUNTS} SELECT doc_id, weight FROM wts WHERE doc_id = 17")
+def _point(s, d):
+    return corpora.signs(s, d).docs.where("doc_id = 17").select("doc_id", "weight")
+
+
+@_add("max_doc_id", "SELECT max(vec_id) AS max_doc_id FROM embeddings")
+def _max(s, d):
+    return corpora.signs(s, d).docs.agg(F.max("doc_id").alias("max_doc_id"))
+
+
+@_add("scan_live", f"WITH {_SIGN} {_COUNTS} SELECT doc_id, (doc_id >> 16)::INTEGER AS block, weight FROM wts")
+def _scan(s, d):
+    return corpora.signs(s, d).docs.select("doc_id", "block", "weight")
+
+
+# -- scalar functions ------------------------------------------------------------
+
+
+@_add("code_weight", f"WITH {_TOKEN} {_COUNTS} SELECT doc_id, weight FROM wts")
+def _weight(s, d):
+    docs = corpora.tokens(s, d).docs
+    return docs.select("doc_id", codes.weight_of(docs).alias("weight"))
+
+
+@_add("intersect_dense", f"WITH {_TOKEN} {_COUNTS} SELECT doc_id, inter FROM x")
+def _dense(s, d):
+    c = corpora.tokens(s, d)
+    return c.docs.select("doc_id", codes.intersect_columns(c.docs, _query_words(c)).alias("inter"))
+
+
+@_add("intersect_sparse_dense", f"WITH {_TOKEN} {_COUNTS} SELECT doc_id, inter FROM x")
+def _sparse_dense(s, d):
+    c = corpora.tokens(s, d)
+    p = codes.to_positions(_query_words(c), c.dims) + [c.dims + 5]  # a position outside counts 0
+    return c.docs.select("doc_id", codes.intersect_sparse_dense(F.array(*map(F.lit, p)), F.array(*codes.word_columns(c.docs))).alias("inter"))
+
+
+@_add("intersect_sparse", f"WITH {_SIGN} {_COUNTS} SELECT doc_id, inter FROM x")
+def _sparse(s, d):
+    c, q = _sign_query(s, d)
+    p = F.array(*[F.lit(x) for x in codes.to_positions(q, c.dims)]).cast("array<int>")
+    return c.docs.select("doc_id", codes.intersect_sparse(codes.positions_of(c.docs, c.dims), p).alias("inter"))
+
+
+for _m in metrics.METRICS:
+    _root = "sqrt(num::DOUBLE / den::DOUBLE)" if _m == "cosine" else "num::DOUBLE / den::DOUBLE"
+
+    @_add(f"score_{_m}", f"{_scored_sql(_m, _TOKEN)} SELECT doc_id, inter, weight, num, den, {_root} AS score FROM s")
+    def _score(s, d, m=_m):
+        c = corpora.tokens(s, d)
+        rows = search.Search(c, corpora.code_of(c, QUERY), m).scored()
+        return rows.select("doc_id", "inter", "weight", "num", "den", metrics.shown(m, F.col("num"), F.col("den")).alias("score"))
+
+    @_add(f"search_{_m}", _hits_sql(_m, _SIGN))
+    def _search(s, d, m=_m):
+        c, q = _sign_query(s, d)
+        return c.search(q, metric=m).frame()
+
+
+@_add("hamming_distance", f"WITH {_SIGN} {_COUNTS} SELECT doc_id, (m + weight - 2 * inter)::INTEGER AS distance FROM x")
+def _hamming(s, d):
+    c, q = _sign_query(s, d)
+    return c.docs.select("doc_id", codes.hamming_columns(c.docs, codes.masked(q, c.dims)).alias("distance"))
+
+
+_BOUND_SQL = f"""WITH {_SIGN} {_COUNTS}, v AS (SELECT *, {{w_min}} AS w0 FROM x)
+SELECT doc_id, inter::BIGINT AS dot, (inter - m)::BIGINT AS hamming, inter::BIGINT AS jaccard_num, greatest(m, m + w0 - least(inter, w0))::BIGINT AS jaccard_den,
+       (inter::BIGINT * inter)::BIGINT AS cosine_num, (m * greatest(inter, w0, 1))::BIGINT AS cosine_den FROM v"""
+
+
+def _bounds(s, d, w_min):
+    c, q = _sign_query(s, d)
+    found = search.Search(c, q)
+    rows = found.scored()
+    if w_min is None:
+        least = rows.agg(F.min("weight").alias("w0"))
+        rows = rows.crossJoin(least)  # one row
+        w_min = F.col("w0")
+    b = {m: metrics.bound_columns(m, F.col("inter"), found.m, w_min) for m in metrics.METRICS}
+    return rows.select("doc_id", b["dot"][0].alias("dot"), b["hamming"][0].alias("hamming"), b["jaccard"][0].alias("jaccard_num"), b["jaccard"][1].alias("jaccard_den"), b["cosine"][0].alias("cosine_num"), b["cosine"][1].alias("cosine_den"))
+
+
+_add("metric_bound", _BOUND_SQL.format(w_min="0"))(lambda s, d: _bounds(s, d, 0))
+_add("tight_bound", _BOUND_SQL.format(w_min="(SELECT min(weight) FROM x)"))(lambda s, d: _bounds(s, d, None))
+
+
+@_add("block_of", "SELECT o_orderkey AS doc_id, (o_orderkey >> 16)::INTEGER AS block FROM orders")
+def _block(s, d):
+    return corpora.table(s, d, "orders").select(F.col("o_orderkey").alias("doc_id"), codes.block_of(F.col("o_orderkey")).alias("block"))
+
+
+@_add(
+    "l2_normalize",
+    """SELECT vec_id AS doc_id, (i - 1)::INTEGER AS dim, (e::DOUBLE / n)::FLOAT AS value FROM (
+  SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS i, sqrt(list_reduce(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE), lambda a, b: a + b)) AS n FROM embeddings)""",
+)
+def _normal(s, d):
+    v = corpora.embeddings(s, d)
+    return v.select("doc_id", F.posexplode(residual.l2_normalize("embedding")).alias("dim", "value"))
+
+
+# -- filters ---------------------------------------------------------------------
+
+for _name, (_f, _where) in _FILTERS.items():
+
+    @_add(_name, f"SELECT doc_id FROM {_TAGGED} WHERE {_where}")
+    def _filter(s, d, f=_f):
+        return corpora.signs(s, d).admitted(f).select("doc_id")
+
+
+@_add("count_filtered", f"SELECT count(*)::BIGINT AS n FROM {_TAGGED} WHERE t1 AND NOT t2")
+def _count(s, d):
+    return corpora.signs(s, d).count(And((Term(1), Not(Term(2)))))
+
+
+# -- search paths ----------------------------------------------------------------
+
+_ONE = And((Term(1),))
+for _path in ("gather", "dense", "inverted"):
+
+    @_add(f"path_{_path}", _hits_sql("jaccard", _SIGN, where="doc_id % 3 = 0"))
+    def _path_query(s, d, path=_path):
+        c, q = _sign_query(s, d)
+        return c.search(q, metric="jaccard", path=path, filter=_ONE).frame()
+
+
+for _kernel in search.KERNELS:
+
+    @_add(f"kernel_{_kernel}", _hits_sql("cosine", _TOKEN))
+    def _kernel_query(s, d, kernel=_kernel):
+        c = corpora.tokens(s, d)
+        return c.search(corpora.code_of(c, QUERY), metric="cosine", kernel=kernel).frame()
+
+
+@_add("topk_ties", f"WITH {_SIGN} {_COUNTS} SELECT doc_id, inter FROM x ORDER BY inter DESC, doc_id LIMIT 25")
+def _ties(s, d):
+    c, q = _sign_query(s, d)
+    return c.search(q, metric="dot", k=25).frame().select("doc_id", "inter")
+
+
+@_add("threshold_select", f"WITH {_SIGN} {_COUNTS} SELECT doc_id, inter FROM x WHERE inter >= 20")
+def _threshold(s, d):
+    c, q = _sign_query(s, d)
+    return search.Search(c, q, "dot").scored().where("inter >= 20").select("doc_id", "inter")
+
+
+for _m in ("jaccard", "cosine"):
+
+    @_add(f"search_{_m}_pruned", _hits_sql(_m, _TOKEN))
+    def _pruned(s, d, m=_m):
+        c = corpora.tokens(s, d)
+        return c.search(corpora.code_of(c, QUERY), metric=m, prune=True).frame()
+
+
+@_add("row_search", f"WITH {_SIGN} {_COUNTS} SELECT (row_number() OVER (ORDER BY 3 * inter - weight DESC, doc_id))::INTEGER AS rank, doc_id, (3 * inter - weight)::BIGINT AS score FROM x ORDER BY 3 * inter - weight DESC, doc_id LIMIT 10")
+def _rows(s, d):
+    """An opaque scorer over packed rows, as any Python function of the words."""
+    c, q = _sign_query(s, d)
+    word = codes.masked(q, c.dims)[0]
+
+    @F.pandas_udf("long")
+    def scorer(w: pd.Series) -> pd.Series:
+        x = w.to_numpy().view(np.uint64)
+        return pd.Series(3 * np.bitwise_count(x & np.uint64(word)).astype(np.int64) - np.bitwise_count(x))
+
+    return search.row_search(c.docs, scorer("w0"))
+
+
+@_add(
+    "search_batch",
+    f"""WITH {_SIGN} wts AS (SELECT d.doc_id, count(b.p)::INTEGER AS weight FROM docs d LEFT JOIN bits b USING (doc_id) GROUP BY d.doc_id),
+qs AS (SELECT doc_id AS query_id, weight AS m FROM wts WHERE doc_id % 50 = 0),
+i AS (SELECT b.doc_id AS query_id, c.doc_id, count(*) AS a FROM bits b JOIN bits c USING (p) WHERE b.doc_id % 50 = 0 GROUP BY b.doc_id, c.doc_id),
+s AS (SELECT qs.query_id, w.doc_id, coalesce(i.a, 0)::INTEGER AS inter, w.weight, (2 * coalesce(i.a, 0) - m - weight)::BIGINT AS num FROM qs CROSS JOIN wts w LEFT JOIN i ON i.query_id = qs.query_id AND i.doc_id = w.doc_id),
+r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY num DESC, doc_id))::INTEGER AS rank FROM s)
+SELECT query_id, rank, doc_id, inter, weight, num, 1::BIGINT AS den, false AS square_root, num::DOUBLE AS score FROM r WHERE rank <= 10""",
+)
+def _batch(s, d):
+    c = corpora.signs(s, d)
+    queries = c.docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.array("w0").alias("words"))
+    return search.search_batch(c, queries)
+
+
+@_add("explain_plan", f"WITH {_SIGN} {_COUNTS} SELECT 'columnar scan' AS path, 'jaccard' AS metric, 10 AS k, (SELECT m FROM m)::INTEGER AS query_bits, 64 AS dims, count(DISTINCT doc_id >> 16)::BIGINT AS blocks, count(DISTINCT doc_id >> 16)::BIGINT AS blocks_with_stats, (max(weight) - min(weight))::INTEGER AS block_weight_spread FROM wts")
+def _explain(s, d):
+    c, q = _sign_query(s, d)
+    stats = c.docs.groupBy("block").agg(F.min("weight").alias("w_min"), F.max("weight").alias("w_max"))
+    return explain(c.search(q, metric="jaccard"), stats).select("path", "metric", "k", "query_bits", "dims", "blocks", "blocks_with_stats", "block_weight_spread")
+
+
+@_add("describe_index", "SELECT count(*)::BIGINT AS live, count(DISTINCT vec_id >> 16)::BIGINT AS blocks, 0::BIGINT AS blocks_with_stats, 'binary' AS kind FROM embeddings")
+def _describe(s, d):
+    c = corpora.signs(s, d)
+    return c.docs.agg(F.count("*").alias("live"), F.count_distinct("block").alias("blocks"), F.lit(0).cast("long").alias("blocks_with_stats"), F.lit("binary").alias("kind"))
+
+
+@_add("scan_stats", f"SELECT count(*)::BIGINT AS scored, count(DISTINCT doc_id >> 16)::BIGINT AS blocks_visited, 0::BIGINT AS resumes, 0::BIGINT AS version_lo, 0::BIGINT AS version_hi FROM {_TAGGED} WHERE t1")
+def _stats(s, d):
+    c, q = _sign_query(s, d)
+    return c.search(q, filter=_ONE).scan_stats()
+
+
+# -- recall ------------------------------------------------------------------------
+
+
+def _truth(s, d, k):
+    v = corpora.embeddings(s, d)
+    return recall.float_truth(v, v.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"), k)
+
+
+_SIM = """sims AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id,
+  list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / (sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(v.embedding, lambda x: x::DOUBLE * x::DOUBLE)))) AS sim
+  FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0),
+truth AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) AS rank FROM sims)"""
+
+
+@_add(
+    "recall_at_k",
+    f"""WITH {_SIGN} {_SIM},
+wts AS (SELECT d.doc_id, count(b.p)::INTEGER AS weight FROM docs d LEFT JOIN bits b USING (doc_id) GROUP BY d.doc_id),
+i AS (SELECT b.doc_id AS query_id, c.doc_id, count(*) AS a FROM bits b JOIN bits c USING (p) WHERE b.doc_id % 50 = 0 GROUP BY b.doc_id, c.doc_id),
+s AS (SELECT qs.doc_id AS query_id, w.doc_id, 2 * coalesce(i.a, 0) - qs.weight - w.weight AS num FROM wts qs CROSS JOIN wts w LEFT JOIN i ON i.query_id = qs.doc_id AND i.doc_id = w.doc_id WHERE qs.doc_id % 50 = 0),
+h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY num DESC, doc_id) AS rank FROM s)
+SELECT t.query_id, count(h.doc_id)::BIGINT AS found, count(h.doc_id)::DOUBLE / count(*) AS recall
+FROM truth t LEFT JOIN h ON h.query_id = t.query_id AND h.doc_id = t.doc_id AND h.rank <= 10 WHERE t.rank <= 10 GROUP BY t.query_id""",
+)
+def _recall(s, d):
+    return recall.recall_at_k(_batch(s, d), _truth(s, d, 10), 10)
+
+
+@_add(
+    "rank_boundary",
+    f"""WITH {_SIM} SELECT query_id, round(max(sim) FILTER (WHERE rank = 1), 9) AS at_1, round(max(sim) FILTER (WHERE rank = 10), 9) AS at_k,
+round(max(sim) FILTER (WHERE rank = 11), 9) AS at_k1, round(max(sim) FILTER (WHERE rank = 100), 9) AS at_10k FROM truth GROUP BY query_id""",
+)
+def _boundary(s, d):
+    found = recall.rank_boundary(_truth(s, d, 100), 10)
+    return found.select("query_id", *[F.round(c, 9).alias(c) for c in ("at_1", "at_k", "at_k1", "at_10k")])
+
+
+# -- residual codec ----------------------------------------------------------------
+
+_MODELS: dict[str, fit.Fit] = {}
+
+
+def fitted(s: SparkSession, d: str) -> fit.Fit:
+    """One model a table and process; the fit is the offline step."""
+    if d not in _MODELS:
+        _MODELS[d] = fit.fit(corpora.embeddings(s, d), corpora.SIGN_DIMS)
+    return _MODELS[d]
+
+
+def _encoded(s, d) -> DataFrame:
+    v = corpora.embeddings(s, d)
+    return v.select("doc_id", residual.encode_column(s, fitted(s, d).model, F.col("embedding")).alias("code"))
+
+
+def _prepared(s, d) -> residual.PreparedQuery:
+    v = corpora.embeddings(s, d).where(F.col("doc_id") == QUERY).select("embedding").first()
+    return fitted(s, d).model.prepare(np.array(v[0], np.float32))
+
+
+@_add("residual_encode")
+def _encode(s, d):
+    return _encoded(s, d)
+
+
+@_add(
+    "residual_pack",
+    """SELECT doc_id, norm_code, n_positive FROM (SELECT vec_id AS doc_id, (vec_id * 311 % 4096)::INTEGER AS norm_code,
+ list_sum(list_transform(range(0, 500), lambda b: CASE WHEN (17 * b + 13 * vec_id) % 29 < 14 THEN 1 ELSE 0 END))::INTEGER AS n_positive FROM embeddings)""",
+)
+def _pack(s, d):
+    """Packs a known sign pattern and norm and reads both back from the 64 bytes by bit arithmetic."""
+
+    @F.pandas_udf("binary")
+    def packed(i: pd.Series) -> pd.Series:
+        x = i.to_numpy()[:, None]
+        signs = (17 * np.arange(residual.SIGNS)[None, :] + 13 * x) % 29 < 14
+        return pd.Series([c.tobytes() for c in residual.pack(signs, x[:, 0] * 311 % 4096)], dtype=object)
+
+    rows = corpora.embeddings(s, d).select("doc_id", F.hex(packed("doc_id")).alias("h"))
+    tail = F.conv(F.concat(F.substring("h", 127, 2), F.substring("h", 125, 2)), 16, 10).cast("int")
+    halves = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.bit_count(F.conv(F.substring("h", i * 16 + 1, 16), 16, -10).cast("long")))
+    ones = F.aggregate(halves, F.lit(0), lambda a, x: a + x)
+    norm = F.shiftright(tail, 4)
+    return rows.select("doc_id", norm.alias("norm_code"), (ones - F.bit_count(norm)).alias("n_positive"))
+
+
+@_add("residual_score")
+def _rscore(s, d):
+    return _encoded(s, d).select("doc_id", residual.score_column(s, _prepared(s, d), F.col("code")).alias("score"))
+
+
+@_add("residual_search")
+def _rsearch(s, d):
+    return search.row_search(_encoded(s, d), residual.score_column(s, _prepared(s, d), F.col("code")))
+
+
+@_add("residual_search_filtered")
+def _rsearch_filtered(s, d):
+    c = search.Corpus(_encoded(s, d), corpora.attrs(corpora.embeddings(s, d)), 512, residual=True)
+    return search.row_search(c.admitted(Or((Term(1), IdRange(0, 20)))), residual.score_column(s, _prepared(s, d), F.col("code")))
+
+
+@_add("fit_norm_calibration", "WITH v AS (SELECT 1.0::DOUBLE / sqrt(p_retailprice) AS inverse FROM part), r AS (SELECT min(inverse) AS lo, (max(inverse) - min(inverse)) / 4094.0::DOUBLE AS norm_step FROM v) SELECT round_even(lo / norm_step, 0)::BIGINT AS norm_offset, norm_step, (SELECT count(*) FILTER (WHERE round_even(inverse / norm_step, 0) - round_even(lo / norm_step, 0) NOT BETWEEN 0 AND 4095) FROM v)::BIGINT AS clipped FROM r")
+def _calibration(s, d):
+    return fit.norm_range(corpora.table(s, d, "part").select((1.0 / F.sqrt("p_retailprice")).alias("inverse")))
+
+
+# -- mutations ---------------------------------------------------------------------
+
+_KIND = "CASE WHEN event_id % 7 = 0 THEN 'delete' WHEN event_id % 5 = 0 THEN 'unattr' WHEN event_id % 5 = 1 THEN 'attr' ELSE 'put' END"
+
+
+def _mutations(s, d) -> DataFrame:
+    """Events as mutations: user as document, the event id as seq, code and term from the event id."""
+    e = corpora.table(s, d, "events")
+    put = F.col("op") == "put"
+    return e.select(F.col("event_id").alias("seq"), F.expr(_KIND).alias("op"), F.col("user_id").alias("doc_id")).select(
+        "seq", "op", "doc_id",
+        F.when(put, F.array(F.col("seq"))).alias("words"),
+        F.when(F.col("op") != "delete", F.array((F.col("seq") % 4).cast("int"))).alias("terms"),
+    )
+
+
+def _applied(s, d) -> Index:
+    index = Index.create(s, _scratch(s), 64)
+    index.apply(_mutations(s, d))
+    return index
+
+
+def _scratch(s: SparkSession) -> str:
+    """A fresh folder where the cluster shares files, else a temporary one."""
+    shared = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()
+    if shared:
+        import uuid
+
+        return f"{shared.rstrip('/')}/bitlark-index-{uuid.uuid4().hex}"
+    return tempfile.mkdtemp(prefix="bitlark-index-")
+
+
+_LAST = f"""e AS (SELECT event_id AS seq, user_id AS doc_id, {_KIND} AS op FROM events),
+last AS (SELECT doc_id, max_by(op, seq) AS op, max(seq) AS seq FROM e WHERE op IN ('put', 'delete') GROUP BY doc_id)"""
+
+
+@_add("put_replace", f"WITH {_LAST} SELECT doc_id, seq AS w0, bit_count(seq)::INTEGER AS weight FROM last WHERE op = 'put'")
+def _put(s, d):
+    return _applied(s, d).docs().select("doc_id", "w0", "weight")
+
+
+@_add("delete_docs", f"WITH {_LAST} SELECT doc_id FROM last WHERE op = 'put' AND doc_id % 3 <> 0")
+def _delete(s, d):
+    index = _applied(s, d)
+    gone = index.docs().where("doc_id % 3 = 0").select(F.col("doc_id").alias("seq"), F.lit("delete").alias("op"), "doc_id")
+    index.apply(gone)
+    return index.docs().select("doc_id")
+
+
+@_add("attr_unattr", f"WITH {_LAST}, t AS (SELECT doc_id, (seq % 4)::INTEGER AS term, max_by(op, seq) AS op FROM e WHERE op <> 'delete' GROUP BY doc_id, seq % 4) SELECT doc_id, term FROM t WHERE op <> 'unattr'")
+def _attr(s, d):
+    return _applied(s, d).all_attrs()
+
+
+@_add("block_stats", "SELECT (o_orderkey >> 16)::INTEGER AS block, min(bit_count(o_custkey))::INTEGER AS w_min, max(bit_count(o_custkey))::INTEGER AS w_max FROM orders GROUP BY 1")
+def _block_stats(s, d):
+    o = corpora.table(s, d, "orders")
+    docs = codes.stored(o.select(F.col("o_orderkey").alias("doc_id"), F.array("o_custkey").alias("words")), 64)
+    return docs.groupBy("block").agg(F.min("weight").alias("w_min"), F.max("weight").alias("w_max"))
+
+
+@_add("stats_invalidation", f"WITH {_LAST} SELECT (doc_id * 1000 >> 16)::INTEGER AS block, bit_count(0)::INTEGER + min(bit_count(seq))::INTEGER AS w_min, max(bit_count(seq))::INTEGER AS w_max FROM last WHERE op = 'put' GROUP BY 1 HAVING (doc_id * 1000 >> 16)::INTEGER NOT IN (SELECT (doc_id * 1000 >> 16)::INTEGER FROM last WHERE op = 'put' AND doc_id % 97 = 0)".replace("HAVING (doc_id * 1000 >> 16)::INTEGER", "HAVING block"))
+def _invalidated(s, d):
+    """Statistics of spread-out ids; the blocks of some re-put documents lose theirs."""
+    index = Index.create(s, _scratch(s), 64)
+    rows = _mutations(s, d).where("op IN ('put', 'delete')").withColumn("doc_id", F.col("doc_id") * 1000)
+    index.apply(rows.drop("terms"))
+    index.refresh_stats()
+    again = index.docs().where("doc_id % 97000 = 0").select(F.col("doc_id").alias("seq"), F.lit("put").alias("op"), "doc_id", F.array(F.expr("1L")).alias("words"))
+    index.apply(again)
+    return index.stats()
+
+
+_REMAP = "WITH " + _LAST + ", live AS (SELECT doc_id, bit_count(seq) AS w FROM last WHERE op = 'put'), remap AS (SELECT row_number() OVER (ORDER BY w DESC, doc_id) - 1 AS new_id, doc_id AS old_id FROM live)"
+
+
+@_add("compaction_remap", f"{_REMAP} SELECT new_id::BIGINT AS new_id, old_id FROM remap")
+def _compact(s, d):
+    return _applied(s, d).compact()[1]
+
+
+@_add("compaction_attrs", f"{_REMAP}, t AS (SELECT doc_id, (seq % 4)::INTEGER AS term, max_by(op, seq) AS op FROM e WHERE op <> 'delete' GROUP BY doc_id, seq % 4) SELECT new_id::BIGINT AS doc_id, term FROM t JOIN remap ON t.doc_id = old_id WHERE t.op <> 'unattr'")
+def _compact_attrs(s, d):
+    index = _applied(s, d)
+    source_version, _ = index.compact()
+    index.acknowledge(source_version)
+    return index.all_attrs()
+
+
+@_add("streaming_ingest", f"WITH {_LAST} SELECT doc_id, seq AS w0, bit_count(seq)::INTEGER AS weight FROM last WHERE op = 'put'")
+def _stream(s, d):
+    """The same mutations as files of a stream, in order of seq, a micro-batch each."""
+    where = _scratch(s)
+    rows = _mutations(s, d)
+    # three files by ranges of seq; names sort in that order
+    r = rows.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
+    step = (r.hi - r.lo) // 3 + 1
+    for i in range(3):
+        rows.where(F.col("seq").between(r.lo + i * step, r.lo + (i + 1) * step - 1)).coalesce(1).write.mode("append").parquet(f"{where}/in")
+    index = Index.create(s, f"{where}/index", 64)
+    query, _ = ingest(source(s, f"{where}/in", schema=rows.schema.simpleString()[7:-1].replace(":", " ")), index, f"{where}/progress")
+    query.awaitTermination()
+    return index.docs().select("doc_id", "w0", "weight")
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
