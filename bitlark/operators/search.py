@@ -208,7 +208,7 @@ def _block(rows: DataFrame, queries: list[tuple[int, list[int]]], metric: str, k
 
     def run(batches):
         got = sent.value
-        qw = np.array([w for _, w in got], np.uint64).reshape(len(got), -1)
+        qw = np.array([w for _, w in got], np.uint64).reshape(len(got), codes.words_for(dims))
         m = np.bitwise_count(qw).sum(1, dtype=np.int64)
         keep: list[tuple] = [()] * len(got)
         for batch in batches:
