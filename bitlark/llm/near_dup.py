@@ -15,12 +15,13 @@ are filled (continued in the rare case that one isn't), so a document costs its
 about a thousand points whatever its weights.
 
 Candidates. 25 bands of 5 components: a pair at 0.8 shares a bucket with probability 1 - 5e-5. Inside a
-bucket nobody is compared with everybody. All members are verified against the bucket's least member
-(the hub) by exact multiset overlap of their whole texts, and components are formed. Only buckets that
-still hold several components go on: their members meet in blocks of 128 whose full signatures
-are compared as arrays, and pairs of different components whose estimate lies within five standard deviations of the
-threshold are verified exactly, too. So no link inside a bucket is lost but for that margin, a bucket of
-thousands of near copies costs one comparison a member, and nothing is capped.
+bucket nobody is compared with everybody. All members are verified against the bucket's hub, its member
+with most bucket neighbours over all bands (the original of a group of near copies is the one that most of
+them share most with), by exact multiset overlap of their whole texts, and components are formed. Only buckets
+that still hold several components go on: their members get a signature of 1,000 components (8 bits each), meet in
+blocks of 512 whose signatures are compared as arrays, and pairs of different components whose estimate lies
+within five standard deviations of the threshold are verified exactly, too. So no link inside a bucket is lost but for
+that margin, a bucket of thousands of near copies costs one comparison a member, and nothing is capped.
 
 Scale: exact copies (equal word sequences) share one 64-bit node, so thousands of copies are one node
 from the start; band rows carry 16 bytes; texts travel for candidates only. Sketches and the edges of each
@@ -49,9 +50,11 @@ SHINGLE = 5
 BANDS, ROWS = 25, 5
 M = BANDS * ROWS
 THRESHOLD = 0.8
-BLOCK = 128
+BLOCK = 512
+#: Components of the signatures by which buckets of several components are searched.
+FINE = 1000
 #: Estimates this far below the threshold are still verified: five standard deviations.
-MARGIN = 5 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / M)
+MARGIN = 5 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / FINE)
 _PLACE = np.array([pow(BASE, 3 * i + 1, 1 << 64) for i in range(SHINGLE)], np.uint64)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -193,11 +196,21 @@ def overlaps(a: pa.Array, b: pa.Array) -> np.ndarray:
     return out
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of nodes whose texts really overlap, with the overlap."""
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = docs.select("text").mapInArrow(_with_node, "node long, text string").join(need, "node", "left_semi").dropDuplicates(["node"])
-    texts = written(texts, "texts")
+def _fine(batches):
+    """(node, n, sig): the long signature, a byte a component."""
+    for batch in batches:
+        counts, sigs = [], []
+        for _, _, raw, offsets in text_slices(batch.column(1)):
+            rows, h, n, _ = shingles(raw, offsets)
+            sig = bag_minhash(*counted(rows, h), len(n), FINE).astype(np.int64).astype(np.uint64)
+            sigs += [x.tobytes() for x in (mix(sig) >> np.uint64(56)).astype(np.uint8)]
+            counts.append(np.where(n >= SHINGLE, n - SHINGLE + 1, np.minimum(n, 1)))
+        if counts:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(counts).astype(np.int64)), pa.array(sigs, pa.binary())], names=["node", "n", "sig"])
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of nodes whose texts really overlap, with the overlap. ``texts`` has a text of each node."""
     met = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "tb"}), "b")
 
     def run(batches):
@@ -210,7 +223,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the least node of the component of each node that has an edge (columns a, b)."""
+    """(node, label): the component's least node, for each node of an edge (columns a, b) but that one."""
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     state = None
     while True:
@@ -229,17 +242,17 @@ def components(edges: DataFrame) -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label")
 
 
-def _residual(members: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs of different components that share a bucket and whose signatures nearly agree."""
-    known = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+def _residual(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of different components that share a bucket and whose long signatures nearly agree."""
+    known = written(members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "known")
     mixed = (
         known.groupBy("key")
         .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"))
         .where("lo <> hi")
         .select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     )
-    left = known.join(mixed, "key")
-    sigs = sketches.select("node", "n", "sig").join(left.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    left = written(known.join(mixed, "key"), "mixed")
+    sigs = texts.join(left.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_fine, "node long, n long, sig binary")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = (
         left.withColumn("own", mine)
@@ -256,7 +269,8 @@ def _residual(members: DataFrame, labels: DataFrame, sketches: DataFrame) -> Dat
             ends = lists.offsets.to_numpy()
             flat = lists.values
             own, node, label, n = (flat.field(k).to_numpy() for k in range(4))
-            sig = flat.field(4).values.to_numpy().reshape(-1, M)
+            raw = flat.field(4)
+            sig = np.frombuffer(raw.buffers()[2], np.uint8)[raw.offset * FINE : (raw.offset + len(raw)) * FINE].reshape(-1, FINE)
             for r in range(batch.num_rows):
                 s = slice(ends[r], ends[r + 1])
                 o, nd, lb, sz, sg = own[s], node[s], label[s], n[s], sig[s]
@@ -268,7 +282,8 @@ def _residual(members: DataFrame, labels: DataFrame, sketches: DataFrame) -> Dat
                     y = right[(lb[right] != lb[x]) & (nd[right] > nd[x] if ii[r] == jj[r] else True)]
                     y = y[np.minimum(sz[y], sz[x]) >= THRESHOLD * np.maximum(sz[y], sz[x])]
                     if len(y):
-                        y = y[(sg[y] == sg[x]).mean(1) >= THRESHOLD - MARGIN]
+                        same = ((sg[y] == sg[x]).mean(1) - 1 / 256) / (1 - 1 / 256)  # 1 in 256 agree by chance
+                        y = y[same >= THRESHOLD - MARGIN]
                         out_a += [nd[x]] * len(y)
                         out_b += nd[y].tolist()
             a, b = np.array(out_a, np.int64), np.array(out_b, np.int64)
@@ -287,17 +302,24 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     some = sketches.where("n > 0")
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice("sig", b * ROWS + 1, ROWS)))
     banded = some.select("node", F.explode(keys).alias("key"))
-    shared = banded.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top")
-    members = written(banded.join(shared.select("key", "hub"), "key").select("key", "hub", "node").distinct(), "members")
-    pairs = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    first = _verified(pairs, docs, threshold)
+    shared = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("top")).where("low <> top").select("key")
+    members = written(banded.join(shared, "key").distinct(), "members")
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    degrees = members.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("degree"))
+    hubs = members.join(degrees, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("h")).select("key", F.col("h.node").alias("hub"))
+    pairs = members.join(written(hubs, "hubs"), "key").where("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+    texts = docs.select("text").mapInArrow(_with_node, "node long, text string").join(members.select("node").distinct(), "node", "left_semi")
+    texts = written(texts.dropDuplicates(["node"]), "texts")
+    first = _verified(pairs, texts, threshold)
     labels = components(first)
-    more = written(_residual(members.select("key", "node"), labels, some), "rest")
-    second = _verified(more, docs, threshold) if more.limit(1).count() else None
+    more = written(_residual(members, labels, texts), "rest")
+    second = _verified(more, texts, threshold) if more.limit(1).count() else None
     if second is not None:
         labels = components(first.select("a", "b").union(second.select("a", "b")))
     rows = sketches.join(labels, "node", "left").select("doc_id", "node", "n", F.coalesce("label", "node").alias("class_node"))
-    least = rows.where("n > 0").groupBy("class_node").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    # written: a join of two plain tables may be split where a class is large
+    rows = written(rows, "rows")
+    least = written(rows.where("n > 0").groupBy("class_node").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "least")
     return rows.join(least, "class_node", "left").select(
         "doc_id",
         "node",
