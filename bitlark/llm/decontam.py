@@ -188,8 +188,7 @@ def stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pipeline form: documents that hold no window of the benchmark, with all their columns."""
     spark = docs.sparkSession
     schema, cols = docs.schema, docs.columns
-    blocks = list(_blocks(benchmark, "item_id", "text", BLOCK_BYTES)) if not docs.isStreaming else []
-    for b, _, items in blocks:
+    for b, n, items in _blocks(benchmark, "item_id", "text", BLOCK_BYTES):
         sent = spark.sparkContext.broadcast(items)
         key = hashlib.sha256(repr((WIDTH, items)).encode()).hexdigest()
 
@@ -201,7 +200,7 @@ def stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, schema)
-        if b < len(blocks) - 1:
+        if b < n - 1:
             docs = written(docs, "decontam")
     return docs
 

@@ -133,6 +133,7 @@ def learn(x: np.ndarray, bags: np.ndarray, y: np.ndarray, hidden: int = 24, gate
     m = {k: np.zeros_like(v) for k, v in p.items()}
     s = {k: np.zeros_like(v) for k, v in p.items()}
     step = 0
+    epochs = max(epochs, -(-800 * batch // max(1, len(y))))  # 800 steps at least, however few the documents
     for epoch in range(epochs):
         pick = rng.permutation(len(y))
         for i in range(0, len(pick), batch):

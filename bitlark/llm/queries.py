@@ -62,6 +62,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": line_dedup.SQL,
         "op3_source_mixing": mixing.SQL,
+        "op4_secret_scan": secrets.SQL,
         "op7_license_scan": licenses.SQL,
         "op8_benchmark_decontamination": decontam.SQL,
     }

@@ -163,3 +163,54 @@ def digest(docs: DataFrame) -> DataFrame:
         _joined("_sc_all").alias("spans"),
         count(3, "_sc_all").alias("n_random"),
     )
+
+
+_ASSIGN = ASSIGN.replace("'", "''")
+
+SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+cut AS (
+  SELECT rid, 0 AS kind, 12 AS least, unnest(string_split_regex(t, '{_ASSIGN}')) AS p, unnest(regexp_extract_all(t, '{_ASSIGN}')) AS m,
+         unnest(regexp_extract_all(t, '{_ASSIGN}', 2)) AS g, generate_subscripts(string_split_regex(t, '{_ASSIGN}'), 1) AS i FROM d
+  UNION ALL SELECT rid, 1, 18, unnest(string_split_regex(t, '{ACCESS}')), unnest(regexp_extract_all(t, '{ACCESS}')), unnest(regexp_extract_all(t, '{ACCESS}')), generate_subscripts(string_split_regex(t, '{ACCESS}'), 1) FROM d
+  UNION ALL SELECT rid, 2, 16, unnest(string_split_regex(t, '{HEX}')), unnest(regexp_extract_all(t, '{HEX}')), unnest(regexp_extract_all(t, '{HEX}')), generate_subscripts(string_split_regex(t, '{HEX}'), 1) FROM d
+  UNION ALL SELECT rid, 3, 20, unnest(string_split_regex(t, '{RUN}+={{0,2}}')), unnest(regexp_extract_all(t, '{RUN}+={{0,2}}')), unnest(regexp_extract_all(t, '{RUN}+={{0,2}}')), generate_subscripts(string_split_regex(t, '{RUN}+={{0,2}}'), 1) FROM d
+),
+placed AS (
+  SELECT *, start + length(m) AS stop FROM (SELECT rid, kind, least, m, g, sum(length(p) + coalesce(length(m), 0)) OVER (PARTITION BY rid, kind ORDER BY i) - length(m) AS start FROM cut) WHERE m IS NOT NULL
+),
+base AS (SELECT rid, kind, start, stop FROM placed WHERE kind < 3 AND length(g) >= least),
+cand AS (
+  SELECT rid, start, stop, rtrim(m, '=') AS body FROM placed c
+  WHERE kind = 3 AND length(rtrim(m, '=')) >= 20 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = c.rid AND b.start < c.stop AND c.start < b.stop)
+),
+chars AS (
+  SELECT rid, start, i, ascii(c) AS c, CASE WHEN ascii(c) BETWEEN 48 AND 57 THEN 1 WHEN ascii(c) BETWEEN 65 AND 90 THEN 2 WHEN ascii(c) BETWEEN 97 AND 122 THEN 3 ELSE 4 END AS k
+  FROM (SELECT rid, start, unnest(string_split(body, '')) AS c, generate_subscripts(string_split(body, ''), 1) AS i FROM cand)
+),
+nexts AS (SELECT *, lag(c) OVER w AS c0, lag(k) OVER w AS k0 FROM chars WINDOW w AS (PARTITION BY rid, start ORDER BY i)),
+sums AS (SELECT rid, start, count(*)::DOUBLE AS n, count(*) FILTER (WHERE k <> k0)::DOUBLE AS ch, sum(c)::DOUBLE AS s1, sum(c * c)::DOUBLE AS s2, coalesce(sum(c * c0), 0)::DOUBLE AS s11 FROM nexts GROUP BY rid, start),
+sq AS (SELECT rid, start, sum(x * x)::DOUBLE AS sq FROM (SELECT rid, start, c, count(*) AS x FROM chars GROUP BY rid, start, c) GROUP BY rid, start),
+stats AS (
+  SELECT cand.rid, cand.start, cand.stop, n, ch, sq,
+    CASE WHEN s2 / n - (s1 / n) * (s1 / n) > 0 THEN (s11 / (n - 1) - (s1 / n) * (s1 / n)) / (s2 / n - (s1 / n) * (s1 / n)) ELSE 1.0::DOUBLE END AS r,
+    CASE WHEN regexp_full_match(body, '[0-9A-F]+') THEN 16.0::DOUBLE WHEN regexp_full_match(body, '[A-Z2-7]+') THEN 32.0::DOUBLE WHEN regexp_full_match(body, '[0-9a-z]+') OR regexp_full_match(body, '[0-9A-Z]+') THEN 36.0::DOUBLE ELSE 64.0::DOUBLE END AS k
+  FROM cand JOIN sums USING (rid, start) JOIN sq USING (rid, start)
+),
+z AS (
+  SELECT rid, start, stop, n,
+    (k / n * sq - n - (k - 1)) / sqrt(2 * (k - 1) * (n - 1) / n) AS chi, (ch - (n - 1) * rate) / sqrt((n - 1) * rate * (1 - rate)) AS runs, r * sqrt(n) AS serial,
+    ((n * (n - 1) / 2 * {COLLISION} - (sq - n) / 2) / sqrt(n * (n - 1) / 2 * {COLLISION} * (1 + 0.02 * n)) + (ch - (n - 1) * {CHANGE}) / sqrt((n - 1) * {CHANGE} * (1 - {CHANGE})) + ({CORRELATION} - r) * sqrt(n) / (1 - {CORRELATION} * {CORRELATION})) / sqrt(3.0::DOUBLE) AS z
+  FROM (SELECT *, CASE k WHEN 16 THEN 0.469::DOUBLE WHEN 32 THEN 0.305::DOUBLE WHEN 36 THEN 0.401::DOUBLE ELSE 0.645::DOUBLE END AS rate FROM stats)
+),
+q AS (
+  SELECT rid, start, stop, (CASE WHEN chi <= 5 AND abs(runs) <= 3.3 AND abs(serial) <= 3.3 THEN 1 / (1 + exp(least(700.0::DOUBLE, 0.07056 * z * z * z + 1.5976 * z))) ELSE 1 END)
+         * avg(stop - start) OVER (PARTITION BY rid) / (stop - start) AS q, count(*) OVER (PARTITION BY rid) AS m FROM z
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY q, start) AS i FROM q),
+found AS (SELECT rid, 3 AS kind, start, stop FROM (SELECT *, max(CASE WHEN q <= i * {RATE} / m THEN i ELSE 0 END) OVER (PARTITION BY rid) AS upto FROM ranked) WHERE i <= upto),
+named AS (SELECT *, ['assign', 'access', 'hex', 'random'][kind + 1] || ':' || start || ':' || stop AS s FROM (SELECT * FROM base UNION ALL SELECT * FROM found))
+SELECT d.doc_id, count(*) FILTER (WHERE kind = 0)::BIGINT AS n_assign, count(*) FILTER (WHERE kind = 1)::BIGINT AS n_access, count(*) FILTER (WHERE kind = 2)::BIGINT AS n_hex,
+  sha256(coalesce(string_agg(s, ',' ORDER BY start, kind, stop) FILTER (WHERE kind < 3), '')) AS base_sha256, coalesce(string_agg(s, ',' ORDER BY start, kind, stop), '') AS spans, count(*) FILTER (WHERE kind = 3)::BIGINT AS n_random
+FROM d LEFT JOIN named USING (rid) GROUP BY d.rid, d.doc_id
+"""
