@@ -69,7 +69,7 @@ def test_emit_is_sorted_and_whole(spark):
 
 
 def test_odd_rows(spark):
-    rows = [(r[0], r[1], "en", r[3] if len(r) > 3 else ("", "é", "z")[i % 3]) for i, r in enumerate(odd_rows())]
+    rows = [(r[0], r[1], "en", r[3] if len(r) > 3 else ("", "é", "z")[(r[0] or 0) % 3]) for r in odd_rows()]
     df = frame(spark, rows)
     assert mixing.digest(clashing(df)).count() == len(rows)
     check(rows, mixing.digest(df).collect())
