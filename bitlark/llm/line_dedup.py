@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, text_of
+from .common import ascii_lower, text_of, written
 
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -54,7 +54,8 @@ def frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """``docs`` with its text column rebuilt, and ``_ld_lines`` and ``_ld_dropped`` (long)."""
-    over = frequent_lines(docs, id_col, text_col, min_chars, min_docs).select("_ld_h", "_ld_keep")
+    # written: a join of two plain tables may be split where a line is very common
+    over = written(frequent_lines(docs, id_col, text_col, min_chars, min_docs).select("_ld_h", "_ld_keep"), "lines")
     gone = (
         _hashes(docs, id_col, text_col, min_chars)
         .join(over, "_ld_h")
