@@ -18,7 +18,7 @@ Candidates. 25 bands of 5 components: a pair at 0.8 shares a bucket with probabi
 bucket nobody is compared with everybody. All members are verified against the bucket's hub, its member
 with most bucket neighbours over all bands (the original of a group of near copies is the one that most of
 them share most with), by exact multiset overlap of their whole texts, and components are formed. Only buckets
-that still hold several components go on: their members get a signature of 1,000 components (8 bits each), meet in
+that still hold several components go on: their members get a signature of 2,000 components (8 bits each), meet in
 blocks of 512 whose signatures are compared as arrays, and pairs of different components whose estimate lies
 within five standard deviations of the threshold are verified exactly, too. So no link inside a bucket is lost but for
 that margin, a bucket of thousands of near copies costs one comparison a member, and nothing is capped.
@@ -52,7 +52,7 @@ M = BANDS * ROWS
 THRESHOLD = 0.8
 BLOCK = 512
 #: Components of the signatures by which buckets of several components are searched.
-FINE = 1000
+FINE = 2000
 #: Estimates this far below the threshold are still verified: five standard deviations.
 MARGIN = 5 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / FINE)
 _PLACE = np.array([pow(BASE, 3 * i + 1, 1 << 64) for i in range(SHINGLE)], np.uint64)
@@ -197,7 +197,7 @@ def overlaps(a: pa.Array, b: pa.Array) -> np.ndarray:
 
 
 def _fine(batches):
-    """(node, n, sig): the long signature, a byte a component."""
+    """(node, n, sig, keys): the long signature, a byte a component."""
     for batch in batches:
         counts, sigs = [], []
         for _, _, raw, offsets in text_slices(batch.column(1)):
@@ -206,7 +206,7 @@ def _fine(batches):
             sigs += [x.tobytes() for x in (mix(sig) >> np.uint64(56)).astype(np.uint8)]
             counts.append(np.where(n >= SHINGLE, n - SHINGLE + 1, np.minimum(n, 1)))
         if counts:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(counts).astype(np.int64)), pa.array(sigs, pa.binary())], names=["node", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(counts).astype(np.int64)), pa.array(sigs, pa.binary()), batch.column(2)], names=["node", "n", "sig", "keys"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -252,7 +252,8 @@ def _residual(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFr
         .select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     )
     left = written(known.join(mixed, "key"), "mixed")
-    sigs = texts.join(left.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_fine, "node long, n long, sig binary")
+    keys = left.groupBy("node").agg(F.collect_set("key").alias("keys"))  # a key a band at most
+    sigs = texts.join(keys, "node").select("node", "text", "keys").mapInArrow(_fine, "node long, n long, sig binary, keys array<long>")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = (
         left.withColumn("own", mine)
@@ -260,19 +261,21 @@ def _residual(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFr
         .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label")
         .join(sigs, "node")
     )
-    packed = dealt.groupBy("key", "i", "j").agg(F.collect_list(F.struct("own", "node", "label", "n", "sig")).alias("m")).where(F.size("m") > 1)
+    packed = dealt.groupBy("key", "i", "j").agg(F.collect_list(F.struct("own", "node", "label", "n", "sig", "keys")).alias("m")).where(F.size("m") > 1)
 
     def run(batches):
         for batch in batches:
             out_a, out_b = [], []
-            ii, jj, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            ii, jj, lists, here = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), batch.column(3).to_pylist()
             ends = lists.offsets.to_numpy()
             flat = lists.values
             own, node, label, n = (flat.field(k).to_numpy() for k in range(4))
             raw = flat.field(4)
             sig = np.frombuffer(raw.buffers()[2], np.uint8)[raw.offset * FINE : (raw.offset + len(raw)) * FINE].reshape(-1, FINE)
+            keys = flat.field(5)
             for r in range(batch.num_rows):
                 s = slice(ends[r], ends[r + 1])
+                shared = [frozenset(k) for k in keys.slice(ends[r], ends[r + 1] - ends[r]).to_pylist()]
                 o, nd, lb, sz, sg = own[s], node[s], label[s], n[s], sig[s]
                 if ii[r] == jj[r]:
                     left_, right = np.arange(len(nd)), np.arange(len(nd))
@@ -283,13 +286,14 @@ def _residual(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFr
                     y = y[np.minimum(sz[y], sz[x]) >= THRESHOLD * np.maximum(sz[y], sz[x])]
                     if len(y):
                         same = ((sg[y] == sg[x]).mean(1) - 1 / 256) / (1 - 1 / 256)  # 1 in 256 agree by chance
-                        y = y[same >= THRESHOLD - MARGIN]
+                        # a pair is named once, in the least of the buckets that it shares
+                        y = np.array([z for z in y[same >= THRESHOLD - MARGIN] if min(shared[x] & shared[z]) == here[r]], np.int64)
                         out_a += [nd[x]] * len(y)
                         out_b += nd[y].tolist()
             a, b = np.array(out_a, np.int64), np.array(out_b, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
-    return packed.select("i", "j", "m").mapInArrow(run, "a long, b long").distinct()
+    return packed.select("i", "j", "m", "key").mapInArrow(run, "a long, b long")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
