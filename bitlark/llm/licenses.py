@@ -21,7 +21,7 @@ from .common import ascii_lower, text_of
 
 GAP = 2
 CUT = "[.!?]+[ \\t\\r]+|[ \\t\\r]*\\n+"
-WORDS = "licen[sc]e|permission|warrant|liab|redistribut|copyright|public domain"
+WORDS = "licen[sc]e|permission|warrant|liab|redistribut|copyright|public[^a-z0-9]+domain"
 
 # Sentences of public licences and their usual notices.
 SENTENCES = {
@@ -105,11 +105,9 @@ for _p in [p for p, i in KNOWN.items() if "+" in i]:
 def _ids(text: Column) -> Column:
     """array<struct<pos, id>> of the known sentences."""
     table = F.create_map(*[F.lit(x) for kv in KNOWN.items() for x in kv])
-    longest = max(map(len, KNOWN))
 
     def known(s: Column) -> Column:
-        key = F.btrim(F.regexp_replace(ascii_lower(s), "[^a-z0-9]+", " "), F.lit(" "))
-        return F.when(F.char_length(s) <= 2 * longest, F.try_element_at(table, key))
+        return F.try_element_at(table, F.btrim(F.regexp_replace(ascii_lower(s), "[^a-z0-9]+", " "), F.lit(" ")))
 
     found = F.transform(F.split(text, CUT, -1), lambda s, i: F.struct(i.alias("pos"), known(s).alias("id")))
     return F.filter(found, lambda x: x["id"].isNotNull())

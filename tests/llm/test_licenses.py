@@ -24,6 +24,19 @@ def test_rules(spark):
     assert got[6].matches == "CC-BY-NC-4.0:500:500,CC-BY-NC-4.0:501:501"
 
 
+def test_length_and_blanks_of_a_notice_do_not_matter(spark):
+    free = licenses.SENTENCES["unlicense.free"]
+    rows = [
+        (1, "Licensed under the" + " " * 3000 + "MIT License."),
+        (2, "*" * 2000 + " Released under the MIT License " + "日本" * 1000),
+        (3, free.replace("public domain", "public  domain")),
+        (4, free.replace("public domain", "PUBLIC-domain")),
+        (5, "z" + "*" * 2000 + " Released under the MIT License"),
+    ]
+    got = {r.doc_id: r.licenses for r in licenses.digest(frame(spark, rows)).collect()}
+    assert got == {1: "MIT", 2: "MIT", 3: "Unlicense", 4: "Unlicense", 5: ""}
+
+
 def test_odd_rows(spark):
     df = frame(spark, odd_rows())
     got = licenses.digest(clashing(df)).collect()
