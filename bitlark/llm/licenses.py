@@ -1,13 +1,19 @@
 r"""License scans by sentences and ordered rules. DataFrame functions only.
 
-Texts are cut into sentences at line ends and at ``.``, ``!`` or ``?`` before a blank. A sentence is normalised: A-Z lower-cased, every
-run of other characters than a-z and 0-9 one blank. Known sentences have identifiers; a document becomes the sequence of
-identifiers of its known sentences with their places. A rule is an ordered list of identifiers; it matches where they follow each other in that
-sequence with at most ``GAP`` unknown sentences between. A match inside a longer match is dropped.
-
-Scale: one scan, no shuffle. The table of sentences is a literal of fixed size. Every known sentence holds one of ``WORDS`` (checked on
-import), so texts without any of them skip the recognition; that changes no result. Edge cases: a null text is
-one empty sentence; repeated rows give a row each; extra columns pass ``matches``.
+Texts are cut into pieces at line ends and at ``.``, ``!`` or ``?`` before a blank. A piece is normalised: A-Z lower-cased, every
+run of other characters than a-z and 0-9 one blank; ``rem`` and ``dnl`` at the start of a line are comment prefixes and go too. A known
+sentence is one piece or, in hard-wrapped text, several that follow each other across line ends (blank and comment-only lines
+included: the Apache header has one before its address). Of known sentences that share pieces the one that begins first counts, of these the
+longest. Known sentences have identifiers; a document becomes the sequence of identifiers of its known sentences with their first and last
+pieces. A rule is an ordered list of identifiers; it matches where they follow each other in that sequence with at most ``GAP`` unknown
+pieces between, or, next to a wrapped sentence, ``GAP`` unknown sentences, where a line end inside a paragraph doesn't end one. A match
+inside a longer match is dropped.
+
+The SQL knows only sentences of one piece. Where no known sentence is wrapped and no line begins with ``rem`` or ``dnl`` both say the same.
+
+Scale: one scan, no shuffle. The known sentences are one pattern of fixed size, tried at the start of each piece. Every known sentence holds
+one of ``WORDS`` (checked on import), so texts without any of them skip the recognition; that changes no result. Edge cases: a null text is
+one empty piece; repeated rows give a row each; extra columns pass ``matches``.
 """
 
 from __future__ import annotations
@@ -102,15 +108,48 @@ for _p in [p for p, i in KNOWN.items() if "+" in i]:
     del KNOWN[_p]
 
 
-def _ids(text: Column) -> Column:
-    """array<struct<pos, id>> of the known sentences."""
-    table = F.create_map(*[F.lit(x) for kv in KNOWN.items() for x in kv])
+# Marks in place of the cuts: after a stop, at a line end, at a line end after a stop or before blank lines; and around known sentences.
+_STOP, _LINE, _BLANK, _AROUND = "\x01", "\x02", "\x03", "\x04"
+_CUTS = _STOP + _LINE + _BLANK
+#: A known sentence from one cut to another; line ends are blanks inside. Longest first, so the longest is taken.
+_FIND = (
+    f"(^ ?|[{_CUTS}] ?)("
+    + "|".join(p.replace(" ", f"[ {_LINE}{_BLANK}]+") for p in sorted(KNOWN, key=len, reverse=True))
+    + f")(?= ?(?:[{_CUTS}]|\\z))"
+)
+
 
-    def known(s: Column) -> Column:
-        return F.try_element_at(table, F.btrim(F.regexp_replace(ascii_lower(s), "[^a-z0-9]+", " "), F.lit(" ")))
+def _marked(text: Column) -> Column:
+    """The normalised text with marks for its cuts, the same places as ``CUT``."""
+    t = F.translate(ascii_lower(text), _CUTS + _AROUND, "----")
+    t = F.regexp_replace(t, "[.!?]+[ \\t\\r]+", _STOP)
+    t = F.regexp_replace(t, "[.!?]+\\n+|[ \\t\\r]*\\n\\n+", _BLANK)
+    t = F.regexp_replace(t, "[ \\t\\r]*\\n", _LINE)
+    t = F.regexp_replace(t, f"[^a-z0-9{_CUTS}]+", " ")
+    return F.regexp_replace(t, f"(^|[{_LINE}{_BLANK}]) ?(?:rem|dnl)(?=[ {_CUTS}]|\\z)", "$1")
 
-    found = F.transform(F.split(text, CUT, -1), lambda s, i: F.struct(i.alias("pos"), known(s).alias("id")))
-    return F.filter(found, lambda x: x["id"].isNotNull())
+
+def _ids(text: Column) -> Column:
+    """array<struct<pos, last, id, unknown>> of the known sentences: first and last piece, unknown sentences since the one before."""
+    table = F.create_map(*[F.lit(x) for kv in KNOWN.items() for x in kv])
+    # text between known sentences at even places, known sentences at odd ones
+    parts = F.split(F.regexp_replace(_marked(text), _FIND, f"$1{_AROUND}$2{_AROUND}"), _AROUND, -1)
+    cuts = lambda s: F.char_length(s) - F.char_length(F.translate(s, _CUTS, ""))
+    words = lambda s: F.btrim(s, F.lit(" " + _CUTS)) != ""
+
+    def step(a: Column, s: Column) -> Column:
+        last = a["at"] + cuts(s)
+        known = F.struct(
+            a["at"].alias("pos"), last.alias("last"), F.try_element_at(table, F.regexp_replace(s, f"[ {_LINE}{_BLANK}]+", " ")).alias("id"), a["unknown"].alias("unknown")
+        )
+        between = F.size(F.filter(F.split(s, f"[{_STOP}{_BLANK}]|{_LINE} ?(?={_LINE})", -1), words))
+        return F.struct(
+            last.alias("at"), (~a["odd"]).alias("odd"), F.when(a["odd"], F.lit(0)).otherwise(between).alias("unknown"),
+            F.when(a["odd"], F.concat(a["found"], F.array(known))).otherwise(a["found"]).alias("found"),
+        )
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), F.lit(0).alias("unknown"), F.array().cast(_IDS).alias("found"))
+    return F.aggregate(parts, zero, step, lambda a: a["found"])
 
 
 def _rule_matches(ids: Column) -> Column:
@@ -124,7 +163,9 @@ def _fits(ids: Column, rule: tuple[str, ...]):
         ok = F.element_at(ids, i)["id"] == rule[0]
         for k in range(1, len(rule)):
             here, before = F.get(ids, i - 1 + k), F.get(ids, i - 2 + k)
-            ok = ok & F.coalesce((here["id"] == rule[k]) & (here["pos"] - before["pos"] <= GAP + 1), F.lit(False))
+            wrapped = (here["last"] > here["pos"]) | (before["last"] > before["pos"])
+            near = (here["pos"] - before["last"] <= GAP + 1) | (wrapped & (here["unknown"] <= GAP))
+            ok = ok & F.coalesce((here["id"] == rule[k]) & near, F.lit(False))
         return ok
 
     return fits
@@ -132,19 +173,20 @@ def _fits(ids: Column, rule: tuple[str, ...]):
 
 def _made(ids: Column, licence: str, n: int):
     def made(i: Column) -> Column:
-        first, last = F.element_at(ids, i)["pos"], F.element_at(ids, i + n - 1)["pos"]
+        first, last = F.element_at(ids, i)["pos"], F.element_at(ids, i + n - 1)["last"]
         return F.struct(first.alias("first"), last.alias("last"), F.lit(licence).alias("licence"), F.lit(n).alias("n"))
 
     return made
 
 
+_IDS = "array<struct<pos:int,last:int,id:string,unknown:int>>"
 _MATCH = "array<struct<first:int,last:int,licence:string,n:int>>"
 
 
 def matches(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with _lc_sentences long, _lc_ids and _lc_matches (struct<first, last, licence, n>, by place)."""
     text = text_of(text_col)
-    none = F.array().cast("array<struct<pos:int,id:string>>")
+    none = F.array().cast(_IDS)
     cut = docs.withColumns({"_lc_sentences": F.size(F.split(text, CUT, -1)).cast("long"), "_lc_ids": F.when(F.lower(text).rlike(WORDS), _ids(text)).otherwise(none)})
     # a barrier: the sequence is built once, not for each rule
     cut = cut.select(*[c for c in cut.columns if c != "_lc_ids"], F.explode(F.array("_lc_ids")).alias("_lc_ids"))

@@ -37,6 +37,53 @@ def test_length_and_blanks_of_a_notice_do_not_matter(spark):
     assert got == {1: "MIT", 2: "MIT", 3: "Unlicense", 4: "Unlicense", 5: ""}
 
 
+def wrapped(ids, width, prefix="", between="\n"):
+    import textwrap
+
+    return between.join("\n".join(prefix + x for x in textwrap.wrap(licenses.SENTENCES[i], width, break_long_words=False)) for i in ids)
+
+
+def test_wrapped_texts(spark):
+    mit = ("mit.grant", "mit.notice", "mit.warranty", "mit.liability")
+    gpl = ("gpl3.free", "gpl.hope", "gpl.see")
+    bsd = [licenses.SENTENCES[x] for x in ("bsd.grant", "bsd.source", "bsd.binary", "bsd3.endorse")]
+    apache = """Copyright 2020 Somebody
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+    comment = lambda p: "\n".join((p + x).rstrip() for x in apache.split("\n"))
+    rows = [(10 + n, comment(p) + "\nimport x\n") for n, p in enumerate(("", "   ", "# ", "// ", " * ", "-- ", ";; ", "rem ", "dnl "))]
+    rows += [(20 + w, "MIT License\n\nCopyright (c) 2020 X\n\n" + wrapped(mit, w, between="\n\n")) for w in (60, 70, 72, 78, 80)]
+    rows += [(200, wrapped(gpl, 72, " * ", "\n *\n")), (201, wrapped(("gpl2.free", *gpl[1:]), 70, "# ", "\r\n#\r\n")), (202, wrapped(("isc.grant",), 75).upper())]
+    rows += [(203, "\n\n".join([bsd[0].replace(" are ", "\nare "), *(f"{n}. " + b.replace(" the ", "\n   the ", 1) for n, b in enumerate(bsd[1:], 1))]))]
+    rows += [
+        (300, wrapped(mit, 70, between="\n\nan unknown sentence\nwrapped over\nmore lines than\nthe gap has\n\n")),
+        (301, wrapped(mit, 70, between="\n\none.\ntwo.\nthree.\n\n")),  # the gap is too wide
+        (302, wrapped(("mit.grant",), 70).replace("free of charge", "free of\nany charge")),
+        (303, "Released under the. MIT License. Released under the\nMIT license"),
+        (304, "unreleased under the\nMIT License 2"),
+        (305, "This work is released under\nthe MIT License."),
+        (306, wrapped(("unlicense.free",), 65).replace("public domain", "public\ndomain")),
+    ]
+    got = {r.doc_id: r for r in licenses.digest(frame(spark, rows)).collect()}
+    assert all(got[i].licenses == "Apache-2.0" and got[i].n_known == 4 for i in range(10, 19))
+    assert got[10].matches == "Apache-2.0:1:9" and got[10].n_sentences == 12
+    assert all(got[20 + w].licenses == "MIT" and got[20 + w].n_known == 5 for w in (60, 70, 72, 78, 80))
+    assert all(got[20 + w].matches.count(",") == 1 for w in (60, 70, 72, 78, 80))
+    assert [got[i].licenses for i in (200, 201, 202, 203)] == ["GPL-3.0", "GPL-2.0", "ISC", "BSD-3-Clause"]
+    assert [got[i].matches.count(",") for i in (200, 201, 202, 203)] == [0, 0, 0, 0] and got[203].n_known == 4
+    assert got[300].licenses == "MIT" and got[301].licenses == got[302].licenses == "" and got[301].n_known == 4
+    assert got[303].matches == "MIT:1:1,MIT:2:3" and [got[i].n_known for i in (304, 305, 306)] == [0, 0, 1]
+
+
 def test_odd_rows(spark):
     df = frame(spark, odd_rows())
     got = licenses.digest(clashing(df)).collect()
