@@ -14,7 +14,8 @@ after another with the state (word runs, item ids) written to the shared folder
 number of items gives the same answer with bounded memory.
 
 Edge cases: null and empty texts have no words and are clean; items without words match nothing;
-items with the same window are all reported; repeated rows give a row each; an empty benchmark leaves
+items with the same window are all reported; items with a null item_id are searched like all others and
+reported as one item, which n_items counts and items_sha256 (of the other ids) leaves out; repeated rows give a row each; an empty benchmark leaves
 all documents clean. Extra columns are not read.
 """
 
@@ -52,8 +53,8 @@ def normal(text: str | None) -> bytes:
     return b" " + b" ".join(words) + b" " if words else b""
 
 
-def windows(items: list[tuple[str, str | None]], width: int) -> dict[bytes, set[str]]:
-    found: dict[bytes, set[str]] = {}
+def windows(items: list[tuple[str | None, str | None]], width: int) -> dict[bytes, set[str | None]]:
+    found: dict[bytes, set[str | None]] = {}
     for item, text in items:
         words = normal(text).split()
         n = min(width, len(words))
@@ -62,25 +63,29 @@ def windows(items: list[tuple[str, str | None]], width: int) -> dict[bytes, set[
     return found
 
 
-def automaton(patterns: dict[bytes, set[str]]):
+def _sorted(items: set[str | None]) -> list[str | None]:
+    return sorted(items, key=lambda x: (x is None, x or ""))
+
+
+def automaton(patterns: dict[bytes, set[str | None]]):
     import ahocorasick
 
     machine = ahocorasick.Automaton()
     for p, owners in patterns.items():
         # the library's keys are str; Latin-1 keeps one character for each byte
-        machine.add_word(p.decode("latin-1"), (len(p), p.count(b" ") - 1, sorted(owners)))
+        machine.add_word(p.decode("latin-1"), (len(p), p.count(b" ") - 1, _sorted(owners)))
     machine.make_automaton()
     return machine
 
 
-def scan(machine, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
+def scan(machine, text: str | None) -> tuple[int, list[tuple[int, int]], set[str | None]]:
     """Number of words, merged runs of hit words [first, end), items with an occurrence."""
     low = normal(text)
     n = max(0, low.count(b" ") - 1)
     if not n:
         return 0, [], set()
     runs: list[list[int]] = []
-    items: set[str] = set()
+    items: set[str | None] = set()
     at = words = 0  # blanks in low[:at]
     for end, (length, width, owners) in machine.iter(low.decode("latin-1")):
         words += low.count(b" ", at, end)
@@ -109,7 +114,7 @@ def union_runs(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple
 _BUILT: dict[str, object] = {}
 
 
-def _machine(key: str, items: list[tuple[str, str | None]], width: int):
+def _machine(key: str, items: list[tuple[str | None, str | None]], width: int):
     if key not in _BUILT:
         _BUILT.clear()
         _BUILT[key] = automaton(windows(items, width))
@@ -118,7 +123,7 @@ def _machine(key: str, items: list[tuple[str, str | None]], width: int):
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int):
     """The items in blocks of about block_bytes; the sizes are asked before anything is fetched."""
-    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where(F.col("t").isNotNull() & F.col("i").isNotNull())
+    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
     total = rows.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
     n = max(1, math.ceil(total / block_bytes))
     for b in range(n):
@@ -146,7 +151,7 @@ def scanned(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_byt
                     m, r, i = scan(machine, text) if len(machine) else (max(0, normal(text).count(b" ") - 1), [], set())
                     counts.append(m)
                     runs.append([x for se in union_runs(list(zip(old[::2], old[1::2], strict=True)), r) for x in se])
-                    found.append(sorted(i.union(had)))
+                    found.append(_sorted(i.union(had)))
                 text = batch.column("text") if keep_text or not last else pa.nulls(batch.num_rows, pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), text, pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))],

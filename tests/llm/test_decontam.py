@@ -63,6 +63,25 @@ def test_empty_and_stage(spark):
     assert decontam.stage(df, bench.limit(0)).count() == len(rows)
 
 
+def test_items_without_an_id(spark):
+    duckdb = pytest.importorskip("duckdb")
+    a, b, c = lorem(51, 12), lorem(52, 12), lorem(53, 12)
+    items = [(None, " ".join(a)), (7, " ".join(b)), (None, " ".join(c)), (None, None)]
+    rows = [(1, "so " + " ".join(a)), (2, " ".join(a + b)), (3, " ".join(b)), (4, " ".join(a + c)), (5, "clean")]
+    docs, bench = frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = [(1, 13, 12, 1, sha(""), True), (2, 24, 24, 2, sha("7"), True), (3, 12, 12, 1, sha("7"), True), (4, 24, 24, 1, sha(""), True), (5, 1, 0, 0, sha(""), False)]
+    got = decontam.digest(docs, bench)
+    assert sorted(map(tuple, got.collect())) == want
+    con = duckdb.connect()
+    for name, df in (("documents", docs.toPandas()), ("benchmark", bench.toPandas().astype({"item_id": "Int64"}))):
+        con.register(name, df)
+    assert sorted(con.execute(decontam.SQL).fetchall()) == want
+    many = decontam.scanned(docs, bench, block_bytes=100).collect()
+    assert {r.doc_id: set(r["items"]) for r in many} == {1: {None}, 2: {None, "7"}, 3: {"7"}, 4: {None}, 5: set()}
+    assert [r.doc_id for r in decontam.stage(docs, bench).collect()] == [5]
+
+
 def test_driver_tables(spark, data, duck):
     pytest.importorskip("duckdb")
     from conftest import rows_of
