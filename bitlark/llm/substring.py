@@ -1,13 +1,15 @@
 """Substring dedup by content-defined chunks.
 
 A gear hash rolls over the normalised UTF-8 bytes of each text (words, A-Z lower-cased, one blank after each; places map back to the text):
-h = 2 h + G[byte] modulo 2**16, so it depends on the last 16 bytes. A chunk ends where the hash is the least of the ``SPAN`` positions before and after it, which puts cuts 17 to about 60 bytes apart, at the same places
-of a passage wherever it stands; an insertion moves only the cuts next to it. Every chunk is known by a 64-bit digest.
+h = 2 h + G[byte] modulo 2**16, so it depends on the last 16 bytes; a word's hash leaves out what stands before the word. Of every ``WINDOW`` consecutive
+words the one of the least hash, of equal ones the last, begins a chunk (winnowing), so no chunk is longer than ``WINDOW`` words, repeated words
+included; an insertion moves only the cuts next to it. A chunk is known by a 64-bit digest of the ``WINDOW`` words from its start on (fewer at the text's end).
 
-A chunk is repeated if texts of two doc_ids or more hold it. Repeated chunks that follow each other in a document form a run; a run of at
-least ``MIN_WORDS`` words is a repeated passage. The passage's ends lie inside its first and last chunks, so of a passage
-of n words a run keeps about n - 12; the least run of 30 words finds all repeats of over 50 words, and
-a single repeated sentence isn't one. The least doc_id that holds a chunk keeps it; other documents drop the chunks of their passages.
+A chunk is repeated if texts of two doc_ids or more hold these words at a cut. Repeated chunks that follow each other in a document form a run; a run of at
+least ``MIN_WORDS`` words is a repeated passage. Windows inside a common passage choose the same words in every text, so of a passage
+of n words a run has its first cut among the first ``WINDOW`` words and reaches at least to word n - ``WINDOW``: n - 21 words or more. The least run of
+30 words therefore finds all repeats of over 50 words, whatever the words are, and a single repeated sentence isn't one. At most 10 words before a run and 11
+after it stay where they are. The least doc_id that holds a chunk keeps it; other documents drop the chunks of their passages.
 
 Scale: digests, ids and places are shuffled, never texts (about 33 bytes of text make one row of 28). Counting combines on
 the map side; the join back is a plain equi-join on the digest that adaptive execution may split where a passage is in a third of
@@ -27,7 +29,7 @@ from pyspark.sql import types as T
 
 from .common import WORD_BYTES, mix, span_hashes, text_slices, written
 
-SPAN = 16
+WINDOW = 11
 MIN_WORDS = 30
 #: Gear table, from a rule.
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(0xFFFF)).astype(np.uint16)
@@ -43,23 +45,29 @@ def gear(raw: np.ndarray) -> np.ndarray:
     return h
 
 
-def cuts(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of all chunks of a slice, and the first chunk of each row (n + 1). Every byte of a row is in one chunk."""
-    n = len(raw)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+def word_gear(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The gear hash at the end of each word, of the word's bytes only (its last 16 at most)."""
     h = gear(raw)
-    low = np.full(n + 3 * SPAN, 0xFFFF, np.uint16)  # low[i]: least of h[i - SPAN : i]
-    low[SPAN : SPAN + n] = h
-    for reach in (1, 2, 4, 8):
+    size = ends - starts
+    before = np.where((starts > 0) & (size < 16), h[starts - 1], 0).astype(np.uint16)
+    return h[ends - 1] - (before << np.minimum(size, 15).astype(np.uint16))
+
+
+def cuts(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Words that begin a chunk; first: the first word of each row (n + 1). Every word of a row is in one chunk."""
+    n = len(hashes)
+    heads = first[:-1][np.diff(first) > 0]
+    if n < WINDOW:
+        return heads
+    # of equal hashes the later word is the less
+    key = (hashes.astype(np.int64) << 40) + (n - 1 - np.arange(n))
+    low = key
+    for reach in (1, 2, 4):
         low = np.minimum(low[:-reach], low[reach:])
-    # strictly below what stands before, so of equal hashes the first is the least
-    least = (h < low[:n]) & (h <= low[SPAN + 1 : SPAN + 1 + n])
-    # windows that reach into another row don't cut
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    inner = (np.arange(n) - offsets[:-1][row] >= 2 * SPAN) & (offsets[1:][row] - np.arange(n) > SPAN + 1)
-    starts = np.union1d(np.flatnonzero(least & inner) + 1, offsets[:-1][np.diff(offsets) > 0])
-    return starts, np.searchsorted(starts, offsets)
+    low = np.minimum(low[: n - WINDOW + 1], low[WINDOW - 8 :])
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    chosen = low[row[: n - WINDOW + 1] == row[WINDOW - 1 :]]  # windows inside one row
+    return np.union1d(n - 1 - (chosen & ((1 << 40) - 1)), heads)
 
 
 def normal(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,19 +83,25 @@ def normal(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def chunks(raw: np.ndarray, offsets: np.ndarray):
     """Row, place in the row, digest, first byte in the row's text, bytes and words of each chunk."""
     text, own, place = normal(raw, offsets)
-    starts, first = cuts(text, own)
-    ends = np.append(starts[1:], len(text)) if len(starts) else starts
+    inside = text != 32
+    edge = np.zeros(len(text) + 1, bool)
+    edge[own] = True
+    begins = np.flatnonzero(inside & (~np.concatenate(([False], inside))[:-1] | edge[:-1]))
+    stops = np.flatnonzero(inside & (~np.concatenate((inside, [False]))[1:] | edge[1:])) + 1
+    of_row = np.searchsorted(begins, own)
+    at = cuts(word_gear(text, begins, stops) if len(text) else np.zeros(0, np.uint16), of_row)
+    first = np.searchsorted(at, of_row)
     per_row = np.diff(first)
     row = np.repeat(np.arange(len(per_row)), per_row)
-    which = np.arange(len(starts)) - first[row]
-    inside = text != 32
-    begins = inside & ~np.concatenate(([False], inside[:-1])) if len(text) else inside
-    begins[own[:-1][np.diff(own) > 0]] = True
-    words = np.append(0, np.cumsum(begins))
+    which = np.arange(len(at)) - first[row]
+    words = np.diff(np.append(at, len(begins)))
+    starts = begins[at]
+    ends = np.append(starts[1:], len(text)) if len(starts) else starts
+    digest = span_hashes(text, starts, stops[np.minimum(at + WINDOW, of_row[1:][row]) - 1])
     # the last byte of a chunk is followed by what stands before the next one
     begin = place[starts] - offsets[row]
     stop = np.where(ends == own[1:][row], np.diff(offsets)[row], place[np.minimum(ends, len(place) - 1)] - offsets[row]) if len(starts) else begin
-    return row, which, span_hashes(text, starts, ends), begin, stop - begin, words[ends] - words[starts]
+    return row, which, digest, begin, stop - begin, words
 
 
 def _rows(batches):

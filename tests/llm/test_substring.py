@@ -68,6 +68,34 @@ def test_repeats_over_fifty_words_are_found_and_clean_texts_left(spark):
     assert all(left[i] == t for i, t in rows if i not in holders)
 
 
+def test_every_passage_of_51_words_is_found():
+    def runs(text):
+        out = []
+        for _, _, raw, offsets in text_slices(pa.array(text)):
+            row, _, digest, _, _, words = substring.chunks(raw, offsets)
+            out += [[(d, w) for r, d, w in zip(row.tolist(), digest.tolist(), words.tolist(), strict=True) if r == i] for i in range(len(offsets) - 1)]
+        return out
+
+    rng = random.Random(5)
+    word = lambda m: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, m)))
+    texts, n = [], 1500
+    for k in range(n):
+        m = 2 + k % 9
+        passage = [word(m) for _ in range(51)]
+        if k % 10 == 0:  # a repeated word, rows of equal cells
+            passage = ([word(m) for _ in range(1 + k // 10 % 4)] * 51)[:51]
+        for _ in range(2):
+            texts.append(" ".join([*(word(m) for _ in range(rng.randrange(60))), *passage, *(word(m) for _ in range(rng.randrange(60)))]))
+    found = runs(texts)
+    for a, b in zip(found[::2], found[1::2], strict=True):
+        for mine, other in ((a, {d for d, _ in b}), (b, {d for d, _ in a})):
+            best = now = 0
+            for d, w in mine:
+                now = now + w if d in other else 0
+                best = max(best, now)
+            assert best >= substring.MIN_WORDS and all(w <= substring.WINDOW for _, w in mine[1:-1])
+
+
 def test_odd_rows(spark):
     rows = odd_rows() + [(5, "é " + " ".join(lorem(9, 90))), (14, "ß " + " ".join(lorem(9, 90)) + " é" * 30), (None, " ".join(lorem(9, 90)))]
     df = clashing(frame(spark, rows))
