@@ -84,3 +84,12 @@ def test_driver_tables(spark, data, duck):
 
     got = mixing.digest(spark.read.parquet(f"{data}/documents.parquet")).toPandas()
     assert rows_of(got) == rows_of(duck.execute(mixing.SQL).df())
+
+
+def test_taken_is_what_the_merged_queue_sends(spark):
+    df = frame(spark, corpus())
+    scheduled = mixing.schedule(df)
+    sent = {}
+    for r in mixing.emit(scheduled).collect():
+        sent[r.doc_id] = sent.get(r.doc_id, 0) + r._mx_words
+    assert {r.doc_id: r.taken for r in mixing.digest(df).collect() if r.taken} == sent
