@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 from ..errors import AlreadyExists
@@ -33,19 +36,31 @@ class Files:
         finally:
             stream.close()
 
+    def size(self, path: str) -> int:
+        fs, p = self._at(path)
+        return fs.getFileStatus(p).getLen()
+
     def create(self, path: str, data: bytes) -> None:
-        """Exclusive: an existing file is refused."""
+        """Exclusive and whole: the bytes go to a hidden file that is then renamed; an existing target is refused."""
         fs, p = self._at(path)
+        if fs.exists(p):
+            raise AlreadyExists(path)
+        hidden = self.jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{p.getName()}-{uuid.uuid4().hex}")
+        stream = fs.create(hidden, False)
         try:
-            stream = fs.create(p, False)
+            stream.write(data)
+        finally:
+            stream.close()
+        options = self.jvm.org.apache.hadoop.fs.Options.Rename
+        how = SparkContext._gateway.new_array(options, 1)
+        how[0] = options.NONE
+        try:
+            self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.conf).rename(hidden, p, how)
         except Py4JJavaError as e:
+            fs.delete(hidden, False)
             if "exist" in str(e.java_exception).lower():
                 raise AlreadyExists(path) from e
             raise
-        try:
-            stream.write(data)
-        finally:
-            stream.close()
 
     def delete(self, path: str) -> None:
         fs, p = self._at(path)
