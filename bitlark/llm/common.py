@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,6 +14,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import InvalidArgument
+from ..sources.files import Files
+
 MASK64 = (1 << 64) - 1
 #: Base of the rolling word hash; odd, so it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15 | 5
@@ -21,11 +26,13 @@ BASE_INV = pow(BASE, -1, 1 << 64)
 def checkpoint_root(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Where a session names none (tests, a laptop) a temporary folder is set once.
+    Where a session on one machine names none (tests, a laptop) a temporary folder is set once; a cluster must name one.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise InvalidArgument("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="bitlark-shared-")
         sc.setCheckpointDir(root)
     elif not sc.getCheckpointDir():
@@ -34,16 +41,44 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, what: str) -> str:
-    """A fresh folder below the shared root."""
-    return f"{checkpoint_root(spark).rstrip('/')}/bitlark-{what}-{uuid.uuid4().hex}"
+    """A fresh folder below the shared root; ``scratch`` removes it."""
+    path = f"{checkpoint_root(spark).rstrip('/')}/bitlark-{what}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+_OPEN: list[list[str]] = []
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+@contextlib.contextmanager
+def scratch(spark: SparkSession, *more: str) -> Iterator[None]:
+    """Removes at its end the work folders made inside, and ``more``; nothing may be read from them afterwards.
+
+    Operators return lazy results that still read their work folders, so their caller closes the block, after an action.
+    """
+    _OPEN.append(list(more))
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            Files(spark).delete(path)
+
+
+def written(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: lineage ends here."""
     spark = df.sparkSession
-    path = work_path(spark, what)
+    path = path or work_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._work_path = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Removes the table of ``written`` that nothing reads any more."""
+    if df is not None:
+        Files(df.sparkSession).delete(df._work_path)
 
 
 def text_of(col: str | Column = "text") -> Column:

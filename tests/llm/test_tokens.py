@@ -10,7 +10,8 @@ pytestmark = pytest.mark.skipif(not os.path.exists(tokens.VOCABULARY), reason="n
 
 
 def brute(rows):
-    e, out = tokens.encoding(tokens.VOCABULARY), {}
+    with open(tokens.VOCABULARY, "rb") as f:
+        e, out = tokens.encoding(f.read(), "test"), {}
     for _, t, lang, source in rows:
         n, m, b = out.get((source, lang), (0, 0, 0))
         out[source, lang] = (n + 1, m + len(e.encode_ordinary(t or "")), b + len((t or "").encode()))
@@ -54,3 +55,30 @@ def test_deltas_and_idempotent_commits(spark, tmp_path):
     assert again.commit("other", tokens.inserts(counts.withColumn("tokenizer", F.lit("v2")))) and again.totals().count() == 1 + 2
     with pytest.raises(Exception, match="batch id"):
         again.commit("../x", tokens.inserts(counts))
+    with pytest.raises(Exception, match="batch id"):
+        again.commit("roll-1", tokens.inserts(counts))
+
+
+def test_overlapping_rolls(spark, tmp_path):
+    """Two rolls of one state: the second to publish loses; a batch published in between stays in the totals."""
+    rows = [(i, " ".join(lorem(i, 9)), "en", "s") for i in range(6)]
+    counts = tokens.counted(frame(spark, rows))
+    r = tokens.Rollup(spark, str(tmp_path))
+    for i in range(2):
+        assert r.commit(f"b{i}", tokens.inserts(counts.where(f"doc_id = {i}")))
+    first, second = r.planned(), r.planned()
+    assert r.commit("between", tokens.inserts(counts.where("doc_id = 2")))
+    late = r.planned()
+    assert first() and not second() and not late()
+    assert totals(r.totals()) == brute(rows[:3])
+    assert r.roll() and not first() and totals(r.totals()) == brute(rows[:3])
+    assert not r.commit("b0", tokens.inserts(counts)) and not r.commit("between", tokens.inserts(counts))
+    assert r.commit("more", tokens.inserts(counts.where("doc_id = 3"))) and totals(r.totals()) == brute(rows[:4])
+
+
+def test_version_is_of_the_contents(spark, tmp_path):
+    other = tmp_path / os.path.basename(tokens.VOCABULARY)
+    with open(tokens.VOCABULARY, "rb") as f:
+        lines = f.read().splitlines()
+    other.write_bytes(b"\n".join(lines[:-1]))
+    assert tokens.vocabulary(spark, str(other))[1] != tokens.vocabulary(spark, tokens.VOCABULARY)[1]
