@@ -74,3 +74,37 @@ def test_driver_tables(spark, data, duck):
 
     got = secrets.digest(spark.read.parquet(f"{data}/documents.parquet")).toPandas()
     assert rows_of(got) == rows_of(duck.execute(secrets.SQL).df())
+
+
+def test_long_runs_and_many_spans_end_soon(spark):
+    """A run of a million characters, and a document of 20,000 hex spans and as many candidates between them."""
+    import time
+
+    rng = random.Random(8)
+    run = "".join(rng.choices(string.ascii_letters + string.digits + "+/", k=1 << 20))
+    many = " ".join(f"{i:016x} aB3xQwertyuiopZ{i:05d}Kx9" for i in range(20_000))
+    df = frame(spark, [(1, f"data {run} end"), (2, many)]).cache()
+    df.count()
+    began = time.time()
+    got = {r.doc_id: r for r in secrets.digest(df).collect()}
+    assert time.time() - began < 60
+    assert got[1].spans == f"random:5:{5 + len(run)}" and got[2].n_hex == 20_000
+    assert got[2].base_sha256 == hashlib.sha256(joined(base(many)).encode()).hexdigest()
+
+
+def test_discovery_is_controlled_over_the_table(spark):
+    """The threshold is the step-up over the candidates of all rows, by length, on the grid."""
+    rng = random.Random(3)
+    keys = ["".join(rng.choices(string.ascii_letters + string.digits, k=rng.choice((20, 24, 40)))) for _ in range(60)]
+    rows = list(enumerate(keys)) + [(1000 + i, f"thisisplaintext{i}andnothingelse" + "more" * (i % 3)) for i in range(900)]
+    found = secrets.tested(frame(spark, rows))
+    got = [t for r in found.select("_sc_t").collect() for t in r._sc_t]
+    mean = sum(t.stop - t.start for t in got) / len(got)
+    q = [t.p * mean / (t.stop - t.start) for t in got]
+    grid = [secrets.RATE * 2 ** (-j / 8) for j in range(secrets.STEPS + 1)]
+    best = max((t for t in grid if t * len(q) <= secrets.RATE * sum(x <= t for x in q)), default=0.0)
+    mean_, least = secrets.threshold(found)
+    # the step of a threshold that a p-value has
+    assert mean_ == mean and sum(x <= secrets.RATE * 2 ** (-least / 8) for x in q) == sum(x <= best for x in q) > 0 and best < secrets.RATE and len(got) > 900
+    n = {r.doc_id: r.n_random for r in secrets.digest(frame(spark, rows)).collect()}
+    assert sum(n.values()) == sum(x <= best for x in q) and not any(n[d] for d in n if d >= 1000)
