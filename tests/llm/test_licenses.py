@@ -98,3 +98,51 @@ def test_driver_tables(spark, data, duck):
 
     got = licenses.digest(spark.read.parquet(f"{data}/documents.parquet")).toPandas()
     assert rows_of(got) == rows_of(duck.execute(licenses.SQL).df())
+
+
+def files():
+    """Notices and whole texts as they stand in files."""
+    of = lambda ids, w=72, p="", between="\n\n": wrapped(ids, w, p, between)
+    bsd = ("bsd.grant", "bsd.source", "bsd.binary", "bsd3.endorse", "bsd.warranty", "bsd.liability")
+    bullets = "\n\n".join(("  * " if i in bsd[1:4] else "") + of((i,)) for i in bsd)
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */\n"
+    gpl = lambda *ids: " This file is part of X.\n\n" + "\n\n".join(of((i,), 70) for i in ids) + " If not, see <https://www.gnu.org/licenses/>.\n"
+    return {
+        1: ("MIT", "MIT License\n\nCopyright (c) 2021 Some One\n\n" + of(("mit.grant", "mit.notice", "mit.warranty"), 78) + "\n" + of(("mit.liability",), 78)),
+        2: ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2021, X\n\n" + bullets),
+        3: ("BSD-2-Clause", of((*bsd[:3], *bsd[4:])).replace("Redistributions of", "1. Redistributions of").replace("Redistributions in", "2. Redistributions in")),
+        4: ("ISC", of(("isc.grant",), 80) + "\n\n" + of(("isc.warranty",), 80) + " " + of(("isc.liability",), 80)),
+        5: ("MPL-2.0", mpl),
+        6: ("GPL-3.0", gpl("gpl3.free", "gpl.hope", "gpl.see", "gpl.copy")),
+        7: ("LGPL-2.1", gpl("lgpl21.free", "lgpl.hope", "lgpl.see", "lgpl.copy")),
+        8: ("AGPL-3.0", gpl("agpl3.free", "gpl.hope", "agpl.see", "agpl.copy")),
+        9: ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.\n"),
+        10: ("GPL-2.0", "\t\t    GNU GENERAL PUBLIC LICENSE\n\t\t       Version 2, June 1991\n\n Copyright (C) 1989"),
+        11: ("LGPL-3.0", "                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n"),
+        12: ("Zlib", of(("zlib.warranty", "zlib.liability"), between="  ") + "\n\n" + of(("zlib.grant",))),
+        13: ("MIT", "// SPDX-License-Identifier: MIT\nimport x\n"),
+        14: ("", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 9.9."),
+        15: ("", "This Source Code Form is subject to the terms of the Mozilla Public License, v."),
+        16: ("", "The MIT licence and the public domain, with damages. No warranty! Redistribution? permission\n\n\n"),
+        17: ("", None),
+    }
+
+
+def test_texts_of_files_and_their_sql(spark):
+    import duckdb
+
+    from conftest import rows_of
+
+    rows = [(i, t) for i, (_, t) in files().items()]
+    rows += [(100 + i, "\n".join(("# " + x).rstrip() for x in (t or "").split("\n"))) for i, t in rows if i != 5]
+    rows += [(200 + i, (t or "").replace("\n", "\r\n")) for i, t in rows if i < 100]
+    rows += [(300 + r, licenses.SENTENCES["mit.grant"] + x + licenses.SENTENCES["mit.notice"]) for r, x in enumerate(("\n\na b\nc d\n", "\nOne. Two. ", "\nOne. Two. Three. ", "\n\n\n", "\nrem\n", " "))]
+    df = frame(spark, rows)
+    got = licenses.digest(df).toPandas()
+    found = dict(zip(got.doc_id, got.licenses, strict=True))
+    for i, (want, _) in files().items():
+        assert [found[j] for j in (i, 100 + i, 200 + i) if j in found] == [want] * sum(j in found for j in (i, 100 + i, 200 + i)), i
+    assert [found[300 + r] for r in range(6)] == ["MIT", "MIT", "", "MIT", "MIT", ""]
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    assert rows_of(got) == rows_of(con.execute(licenses.SQL).df())
