@@ -6,29 +6,31 @@ sizes; a source's target stops at ``most`` times its own size and what it can't
 among the others by weight until none is above (the level at which that holds is found in one
 pass over the sources sorted by size over weight).
 
-A source sends its documents in a shuffled order (by a hash of the doc_id), as often as needed.
-A document's virtual start and finish times are the source's words before and after it, divided by
-the source's target. All targets together are the total budget, so the merged queue has sent the
-total budget at virtual time 1: ``emit`` range-sorts the copies by finish time and the queue is
-truncated there. The document that is on its way at time 1 sends the words that still fit, so each
-source's taken words are its target, rounded down.
+A source sends its documents in a shuffled order (by a hash of the doc_id), as often as needed. What it sends are packets: a copy of a
+document, or, for the copy during which the source reaches its target, the words up to the target and those after it. A packet's virtual
+start and finish times are the source's words before and after it, divided by the source's target. ``queue_end`` sorts the packets of all
+sources by finish time, sums their words in that order and truncates the queue at the total budget, the sum of the targets (rounded down);
+``taken`` and ``emit`` are what stands before that end. The queue is fair: when the budget is spent every source has sent its target.
 
 Scale: the cumulative words of a source come from two levels, sums by (source, hash bucket) and a
 window inside each bucket, so a hot source is spread over all tasks; the table of buckets has at most
-``buckets`` rows a source. Sources (not documents) are sorted in one task that may spill.
+``buckets`` rows a source. The merged queue is summed by slots of equal virtual time (sources send at even rates in it, so slots are about equal), the slot
+in which the budget ends by slots again, and only what is in the last one, 1 in ``SLOTS``**2 of the queue, is sorted. Sizes and schedule (no texts) are
+tables in the shared folder; texts are read once for their sizes and once where they are sent. Sources (not documents) are sorted in
+one task that may spill.
 
-Edge cases: a null or blank text has size 0 and takes 0; a null source is a source of its own, after
+Edge cases: a null or blank text has size 0 and takes 0; a very long text is a packet like others; a null source is a source of its own, after
 all others. Repeated rows are documents of their own (ties go by hash, doc_id, size and take equal
-turns). If all sizes are 0, targets are 0. Empty in, empty out. Extra columns pass through ``schedule``;
-its own are prefixed ``_mx_``.
+turns); packets of one finish time go by source, turn, hash and doc_id, so reruns agree. If all sizes are 0, targets are 0. Empty in, empty out. Extra columns pass
+through ``schedule``; its own are prefixed ``_mx_``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, written
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -50,57 +52,115 @@ def sources(sized: DataFrame, budget: float, most: float, weights: tuple[int, ..
     return t.select("_mx_s", "_mx_source_size", F.least(F.col("_mx_cap"), F.col("_mx_level") * F.col("_mx_w")).alias("_mx_target"))
 
 
-def schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), buckets: int = 4096, seed: str = "mix") -> DataFrame:
-    """``docs`` with _mx_size, _mx_source_size, _mx_target, _mx_start (words of its source before it) and _mx_taken."""
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, buckets: int, seed: str) -> DataFrame:
     order = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(source_col), F.lit(""))))
-    sized = docs.withColumns(
-        {"_mx_size": F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long"), "_mx_s": F.col(source_col), "_mx_h": order}
-    ).withColumn("_mx_b", F.conv(F.substring("_mx_h", 1, 8), 16, 10).cast("long") % buckets)
-    narrow = docs.select(
-        F.col(source_col).alias("_mx_s"), F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("_mx_size"), order.alias("_mx_h")
-    ).withColumn("_mx_b", F.conv(F.substring("_mx_h", 1, 8), 16, 10).cast("long") % buckets)
-    per_bucket = narrow.groupBy("_mx_s", "_mx_b").agg(F.sum("_mx_size").alias("_mx_size"))
+    size = F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long")
+    return docs.withColumns({"_mx_size": size, "_mx_s": F.col(source_col), "_mx_h": order}).withColumn("_mx_b", F.conv(F.substring("_mx_h", 1, 8), 16, 10).cast("long") % buckets)
+
+
+def _offsets(sized: DataFrame, budget: float, most: float, weights: tuple[int, ...]) -> DataFrame:
+    """Words of its source before each (source, bucket), and the source's size and target."""
+    per_bucket = sized.groupBy("_mx_s", "_mx_b").agg(F.sum("_mx_size").alias("_mx_size"))
     before = Window.partitionBy("_mx_s").orderBy("_mx_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(F.col("_mx_s").alias("_mx_os"), F.col("_mx_b").alias("_mx_ob"), F.coalesce(F.sum("_mx_size").over(before), F.lit(0)).alias("_mx_off"))
     table = sources(per_bucket, budget, most, weights).withColumnRenamed("_mx_s", "_mx_ts")
-    offsets = offsets.join(table, F.col("_mx_os").eqNullSafe(F.col("_mx_ts"))).drop("_mx_ts")
+    return offsets.join(table, F.col("_mx_os").eqNullSafe(F.col("_mx_ts"))).drop("_mx_ts")
+
+
+def _placed(sized: DataFrame, offsets: DataFrame, id_col: str) -> DataFrame:
     # the bucket's sums travel with the rows of the bucket; both sides have the same keys
     met = sized.join(offsets, F.col("_mx_s").eqNullSafe(F.col("_mx_os")) & (F.col("_mx_b") == F.col("_mx_ob")))
     inside = Window.partitionBy("_mx_s", "_mx_b").orderBy("_mx_h", id_col, "_mx_size").rowsBetween(Window.unboundedPreceding, -1)
-    out = met.withColumn("_mx_start", F.col("_mx_off") + F.coalesce(F.sum("_mx_size").over(inside), F.lit(0)))
+    return met.withColumn("_mx_start", F.col("_mx_off") + F.coalesce(F.sum("_mx_size").over(inside), F.lit(0))).drop("_mx_b", "_mx_os", "_mx_ob", "_mx_off")
+
+
+def _schedules(docs: DataFrame, id_col: str, text_col: str, source_col: str, budget: float, most: float, weights: tuple[int, ...], buckets: int, seed: str) -> tuple[DataFrame, DataFrame]:
+    """The schedule without texts, and the offsets that it was made with."""
+    names = list(dict.fromkeys((id_col, source_col)))
+    sizes = written(_sized(docs.select(*dict.fromkeys((*names, text_col))), id_col, text_col, source_col, buckets, seed).select(*names, "_mx_size", "_mx_s", "_mx_h", "_mx_b"), "sizes")
+    offsets = written(_offsets(sizes, budget, most, weights), "offsets")
+    return written(_placed(sizes, offsets, id_col), "schedule"), offsets
+
+
+def schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), buckets: int = 4096, seed: str = "mix") -> DataFrame:
+    """``docs`` with _mx_size, _mx_source_size, _mx_target, _mx_start (words of its source before it), _mx_s (source) and _mx_h (order)."""
+    sized = _sized(docs, id_col, text_col, source_col, buckets, seed)
+    return _placed(sized, _offsets(sized, budget, most, weights), id_col)
+
+
+#: Slots of a unit of virtual time by which the merged queue is summed.
+SLOTS = 4096
+
+
+def _packets(most: float) -> Column:
+    """array<struct<turn, words, finish>> of a scheduled document: its copies, the one on its way at the target in two parts."""
     goal, size, zero = F.floor("_mx_target"), F.col("_mx_size"), F.lit(0)
-    taken = zero.cast("long")
+    parts = []
     for turn in range(int(-(-most // 1))):
         at = F.col("_mx_start") + F.lit(turn) * F.col("_mx_source_size")
-        taken = taken + F.greatest(zero, F.least(size, goal - at))
-    return out.withColumn("_mx_taken", taken.cast("long")).drop("_mx_h", "_mx_b", "_mx_os", "_mx_ob", "_mx_off", "_mx_s")
+        first = F.least(size, F.greatest(zero, goal - at))
+        for words, upto in ((first, at + first), (size - first, at + size)):
+            # a source that has sent its target, but for a fraction of a word, is at time 1
+            finish = F.when(upto == goal, F.lit(1.0)).otherwise(upto / F.nullif(F.col("_mx_target"), F.lit(0.0)))
+            parts.append(F.struct(F.lit(turn).alias("turn"), words.cast("long").alias("words"), finish.alias("finish")))
+    return F.filter(F.array(*parts), lambda x: x["words"] > 0)
+
+
+def queue_end(scheduled: DataFrame, most: float = 2.0) -> float:
+    """The finish time of the first packet of the merged queue that goes over the total budget (infinite if none does)."""
+    goals = scheduled.groupBy("_mx_s").agg(F.floor(F.max("_mx_target")).alias("goal"))
+    budget = int(goals.agg(F.sum("goal").cast("long")).first()[0] or 0)
+    queue = scheduled.select(F.inline(_packets(most)))
+    time = F.col("finish") * SLOTS
+    # all that finishes after time 2 is one slot: every source has sent twice its target there
+    slots = [F.least(F.lit(2 * SLOTS), F.floor(time)).cast("long"), F.floor((time - F.floor(time)) * SLOTS).cast("long"), F.col("finish")]
+    before = 0
+    for slot in slots:
+        sums = queue.groupBy(slot.alias("slot")).agg(F.sum("words").alias("words"))
+        upto = F.sum("words").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)) + F.lit(before)
+        over = sums.select("slot", "words", upto.alias("upto")).where(F.col("upto") > budget).agg(F.min(F.struct("slot", (F.col("upto") - F.col("words")).alias("before"))).alias("r")).first().r
+        if over is None:
+            return float("inf")
+        queue, before = queue.where(slot == over.slot), over.before
+    return float(over.slot)
+
+
+def taken(most: float, end: float) -> Column:
+    """Words of a scheduled document that the mix takes, its copies together."""
+    sent = F.filter(_packets(most), lambda x: x["finish"] < F.lit(end))
+    return F.aggregate(sent, F.lit(0).cast("long"), lambda a, x: a + x["words"])
+
+
+def emit(scheduled: DataFrame, most: float = 2.0, end: float | None = None) -> DataFrame:
+    """A row for each copy that the mix sends: _mx_turn, _mx_words and _mx_finish, range-sorted by the finish time."""
+    end = queue_end(scheduled, most) if end is None else end
+    cols = [c for c in scheduled.columns if c not in ("_mx_s", "_mx_h")]
+    sent = scheduled.select("*", F.explode(F.filter(_packets(most), lambda x: x["finish"] < F.lit(end))).alias("_mx_p"))
+    keys = ["_mx_p.finish", "_mx_s", "_mx_p.turn", "_mx_h"]
+    return sent.orderBy(*keys).select(*cols, F.col("_mx_p.turn").alias("_mx_turn"), F.col("_mx_p.words").alias("_mx_words"), F.col("_mx_p.finish").alias("_mx_finish"))
 
 
-def emit(scheduled: DataFrame, most: float = 2.0) -> DataFrame:
-    """A row for each copy that the mix sends: _mx_turn, _mx_words and _mx_finish, range-sorted by the finish time."""
-    turns = F.explode(F.sequence(F.lit(0), F.lit(int(-(-most // 1)) - 1)))
-    copies = scheduled.withColumn("_mx_turn", turns)
-    at = F.col("_mx_start") + F.col("_mx_turn") * F.col("_mx_source_size")
-    words = F.greatest(F.lit(0), F.least(F.col("_mx_size"), F.floor("_mx_target") - at)).cast("long")
-    copies = copies.withColumn("_mx_words", words).where(F.col("_mx_words") > 0)
-    return copies.withColumn("_mx_finish", (at + F.col("_mx_size")) / F.col("_mx_target")).orderBy("_mx_finish", "_mx_turn")
+_DEFAULT = {"id_col": "doc_id", "text_col": "text", "source_col": "source", "budget": 1.5, "most": 2.0, "weights": (3, 1, 2), "buckets": 4096, "seed": "mix"}
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, size, source_size, target, taken."""
-    return schedule(docs.select("doc_id", "text", "source")).select(
+    scheduled, _ = _schedules(docs, **_DEFAULT)
+    return scheduled.select(
         "doc_id",
         F.col("_mx_size").alias("size"),
         F.col("_mx_source_size").alias("source_size"),
         F.col("_mx_target").alias("target"),
-        F.col("_mx_taken").alias("taken"),
+        taken(2.0, queue_end(scheduled)).alias("taken"),
     )
 
 
 def stage(docs: DataFrame) -> DataFrame:
     """Pipeline form, the last stage: the mix in its order. A row for each copy sent, the columns of
     ``docs`` and turn int, words long (fewer than the text's at the end of a source's turn), finish double."""
-    return emit(schedule(docs)).select(
+    narrow, offsets = _schedules(docs, **_DEFAULT)
+    whole = _placed(_sized(docs, "doc_id", "text", "source", 4096, "mix"), offsets, "doc_id")
+    return emit(whole, end=queue_end(narrow)).select(
         *docs.columns, F.col("_mx_turn").alias("turn"), F.col("_mx_words").alias("words"), F.col("_mx_finish").alias("finish")
     )
 

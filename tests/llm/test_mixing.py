@@ -93,3 +93,32 @@ def test_taken_is_what_the_merged_queue_sends(spark):
     for r in mixing.emit(scheduled).collect():
         sent[r.doc_id] = sent.get(r.doc_id, 0) + r._mx_words
     assert {r.doc_id: r.taken for r in mixing.digest(df).collect() if r.taken} == sent
+
+
+def test_the_queue_ends_at_the_budget(spark):
+    """The end of the merged queue against a sort of all its packets, and fairness on the way: no source is ahead by more than a document."""
+    scheduled = mixing.schedule(frame(spark, corpus())).cache()
+    rows = scheduled.select("_mx_s", "_mx_target", mixing._packets(2.0).alias("p")).collect()
+    budget = sum(int(t) for t in {r._mx_s: r._mx_target for r in rows}.values())
+    packets = sorted((p.finish, p.words, r._mx_s) for r in rows for p in r.p)
+    sent, end = 0, None
+    for finish, words, _ in packets:
+        sent += words
+        if sent > budget:
+            end = finish
+            break
+    assert mixing.queue_end(scheduled) == end > 1
+    assert sum(w for f, w, _ in packets if f < end) == budget
+    order = mixing.emit(scheduled).select("source", "_mx_words", "_mx_finish").collect()
+    assert [r._mx_finish for r in order] == sorted(f for f, _, _ in packets if f < end)
+    targets_, done = {r._mx_s: r._mx_target for r in rows}, dict.fromkeys({r._mx_s for r in rows}, 0)
+    for r in order[: len(order) // 2]:
+        done[r.source] += r._mx_words
+        for s, t in targets_.items():
+            assert done[s] / t <= r._mx_finish + 1e-9 and done[s] / t >= r._mx_finish - 150 / t
+
+
+def test_the_last_stage_repeats_in_order(spark):
+    df = frame(spark, corpus() + [(7, "a b c", "en", None), (7, "a b c", "en", None)])
+    one, two = (mixing.stage(x).select("doc_id", "turn", "words", "finish").collect() for x in (df, df.repartition(5)))
+    assert one == two
