@@ -2,105 +2,102 @@
 
 Texts are normalised to words: A-Z lower-cased, a word is a run of ASCII letters, digits and code
 points from U+0080. A window is ``width`` consecutive words of a benchmark item; an item with fewer
-words, but not none, is one window. All windows of all items, each between blanks, make one
-automaton; a document's normalised text is read through it once. An occurrence is known by its end;
-blanks before it give word positions, and ``contaminated_spans`` maps those back to code points of
+words, but not none, is one window. All windows of all items make one automaton over word numbers
+(a word's number is its place in the benchmark's vocabulary, 0 if it isn't there); a document's words are read
+through it once. An occurrence is known by its last word; ``contaminated_spans`` maps words back to code points of
 the original text.
 
-Scale: documents are scanned where they are read, without a shuffle. The automaton is built from the
-items, whose bytes are counted first: up to ``block_bytes`` they travel to every worker as one
-broadcast; a larger benchmark is cut into blocks of that size by hash of the item, which are run one
-after another with the state (word runs, item ids) written to the shared folder in between, so any
-number of items gives the same answer with bounded memory.
+Scale: documents are scanned where they are read, without a shuffle. The windows are made by Spark from the items; what their
+automaton will take is counted first (``NODE_BYTES`` a word of a window, as measured, and ``OWNER_BYTES`` an item of one): up to
+``block_bytes`` they travel to every worker as one broadcast; the windows of a larger benchmark, or of one very long item, are cut into blocks
+of that size by hash, which are run one after another with the state (word runs, item ids) written to the shared folder in
+between, so any number of items gives the same answer with bounded memory.
 
-Edge cases: null and empty texts have no words and are clean; items without words match nothing;
+Edge cases: null and empty texts have no words and are clean; very long texts are scanned whole; items without words match nothing;
 items with the same window are all reported; items with a null item_id are searched like all others and
 reported as one item, which n_items counts and items_sha256 (of the other ids) leaves out; repeated rows give a row each; an empty benchmark leaves
-all documents clean. Extra columns are not read.
+all documents clean, an empty table is an empty result. A doc_id may have any type. Extra columns are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
+import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import WORD_BYTES, written
+from .common import WORD_BYTES, ascii_lower, written
 
 WIDTH = 10
-BLOCK_BYTES = 8 << 20
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Memory of an automaton: bytes a node, measured, and bytes an item of a window.
+NODE_BYTES, OWNER_BYTES = 64, 64
+BLOCK_BYTES = 256 << 20
 _NORMAL = bytes(int(b) or 32 for b in WORD_BYTES)
 
-STATE = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("text", T.StringType()),
-        T.StructField("n_words", T.LongType()),
-        T.StructField("runs", T.ArrayType(T.LongType())),
-        T.StructField("items", T.ArrayType(T.StringType())),
-    ]
-)
-
-
-def normal(text: str | None) -> bytes:
-    """The words of a text, each followed by one blank, after one blank."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_NORMAL).split()
-    return b" " + b" ".join(words) + b" " if words else b""
 
-
-def windows(items: list[tuple[str | None, str | None]], width: int) -> dict[bytes, set[str | None]]:
-    found: dict[bytes, set[str | None]] = {}
-    for item, text in items:
-        words = normal(text).split()
-        n = min(width, len(words))
-        for i in range(len(words) - n + 1 if n else 0):
-            found.setdefault(b" " + b" ".join(words[i : i + n]) + b" ", set()).add(item)
-    return found
+def normal(text: str | None) -> list[bytes]:
+    """The words of a text."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_NORMAL).split()
+
+
+def windows(benchmark: DataFrame, width: int = WIDTH, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(w array<string>, item string): the distinct windows of each item."""
+    words = F.regexp_extract_all(ascii_lower(F.col(text_col)), F.lit(WORD), F.lit(0))
+    rows = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("item"), words.alias("words")).where(F.size("words") > 0)
+    n = F.least(F.lit(width), F.size("words"))
+    return rows.select("item", F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.slice("words", i, n))).alias("w")).distinct()
+
+
+class Machine:
+    """The automaton of a block of windows and its vocabulary."""
+
+    def __init__(self, vocabulary: pa.Array, ids: np.ndarray, ends: np.ndarray, items: pa.Array) -> None:
+        import ahocorasick
+
+        self.number = {w.encode("utf-8", "surrogatepass"): i + 1 for i, w in enumerate(vocabulary.to_pylist())}
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        at = 0
+        for end, item in zip(ends.tolist(), items.to_pylist(), strict=True):
+            key = tuple(ids[at:end].tolist())
+            known = self.machine.get(key, None)
+            if known is None:
+                self.machine.add_word(key, (end - at, [item]))
+            else:
+                known[1].append(item)
+            at = end
+        if len(self.machine):
+            self.machine.make_automaton()
+
+    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[str | None]]:
+        """Number of words, merged runs of hit words [first, end), items with an occurrence."""
+        words = normal(text)
+        runs: list[list[int]] = []
+        items: set[str | None] = set()
+        if not words or not len(self.machine):
+            return len(words), [], items
+        number = self.number
+        for last, (width, owners) in self.machine.iter(tuple([number.get(w, 0) for w in words])):
+            items.update(owners)
+            first, end = last + 1 - width, last + 1
+            while runs and runs[-1][0] >= first:  # a longer window that ends here
+                first = min(first, runs.pop()[0])
+            if runs and runs[-1][1] >= first:
+                runs[-1][1] = max(runs[-1][1], end)
+            else:
+                runs.append([first, end])
+        return len(words), [(a, b) for a, b in runs], items
 
 
 def _sorted(items: set[str | None]) -> list[str | None]:
     return sorted(items, key=lambda x: (x is None, x or ""))
 
 
-def automaton(patterns: dict[bytes, set[str | None]]):
-    import ahocorasick
-
-    machine = ahocorasick.Automaton()
-    for p, owners in patterns.items():
-        # the library's keys are str; Latin-1 keeps one character for each byte
-        machine.add_word(p.decode("latin-1"), (len(p), p.count(b" ") - 1, _sorted(owners)))
-    machine.make_automaton()
-    return machine
-
-
-def scan(machine, text: str | None) -> tuple[int, list[tuple[int, int]], set[str | None]]:
-    """Number of words, merged runs of hit words [first, end), items with an occurrence."""
-    low = normal(text)
-    n = max(0, low.count(b" ") - 1)
-    if not n:
-        return 0, [], set()
-    runs: list[list[int]] = []
-    items: set[str | None] = set()
-    at = words = 0  # blanks in low[:at]
-    for end, (length, width, owners) in machine.iter(low.decode("latin-1")):
-        words += low.count(b" ", at, end)
-        at = end
-        items.update(owners)
-        first = words - width
-        while runs and runs[-1][0] >= first:  # a longer window that ends here
-            first = min(first, runs.pop()[0])
-        if runs and runs[-1][1] >= first:
-            runs[-1][1] = max(runs[-1][1], words)
-        else:
-            runs.append([first, words])
-    return n, [(a, b) for a, b in runs], items
-
-
 def union_runs(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for s, e in sorted([*a, *b]):
@@ -111,54 +108,60 @@ def union_runs(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple
     return [(s, e) for s, e in out]
 
 
-_BUILT: dict[str, object] = {}
-
-
-def _machine(key: str, items: list[tuple[str | None, str | None]], width: int):
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = automaton(windows(items, width))
-    return _BUILT[key]
+_BUILT: dict[str, Machine] = {}
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int):
-    """The items in blocks of about block_bytes; the sizes are asked before anything is fetched."""
-    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
-    total = rows.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
+def _blocks(benchmark: DataFrame, width: int, block_bytes: int) -> Iterator[tuple[int, int, object]]:
+    """(block, blocks, function that gives its Machine in a worker): windows in blocks of about block_bytes of automaton, counted before anything is fetched."""
+    spark = benchmark.sparkSession
+    rows = windows(benchmark, width)
+    total = rows.agg(F.sum(F.size("w").cast("long") * NODE_BYTES + OWNER_BYTES)).first()[0] or 0
     n = max(1, math.ceil(total / block_bytes))
+    if n > 1:
+        rows = written(rows, "windows")
     for b in range(n):
-        part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b) if n > 1 else rows
-        yield b, n, [(r.i, r.t) for r in part.collect()]
+        part = rows.where(F.pmod(F.xxhash64("w", "item"), F.lit(n)) == b) if n > 1 else rows
+        got = part.toArrow().combine_chunks()
+        w, items = (got[c].combine_chunks() for c in ("w", "item"))
+        flat = w.flatten().dictionary_encode()
+        ends = np.cumsum(np.diff(w.offsets.to_numpy())) if len(w) else np.zeros(0, np.int64)
+        sent = spark.sparkContext.broadcast((flat.dictionary, (flat.indices.to_numpy() + 1).astype(np.int32), ends, items))
+        key = uuid.uuid4().hex
+
+        def machine(sent=sent, key=key) -> Machine:
+            if key not in _BUILT:
+                _BUILT.clear()
+                _BUILT[key] = Machine(*sent.value)
+            return _BUILT[key]
+
+        yield b, n, machine
 
 
 def scanned(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES, keep_text: bool = False) -> DataFrame:
     """doc_id, text (null unless keep_text), n_words, runs (flat first, end of hit word runs), items."""
-    spark = docs.sparkSession
     state = docs.select("doc_id", "text").withColumns(
         {"n_words": F.lit(None).cast("long"), "runs": F.array().cast("array<long>"), "items": F.array().cast("array<string>")}
     )
-    for b, n, items in _blocks(benchmark, "item_id", "text", block_bytes):
-        sent = spark.sparkContext.broadcast(items)
-        key = hashlib.sha256(repr((width, items)).encode()).hexdigest()
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, n_words long, runs array<long>, items array<string>"
+    for b, n, machine in _blocks(benchmark, width, block_bytes):
         last = b == n - 1
 
-        def run(batches, sent=sent, key=key, last=last):
-            machine = _machine(key, sent.value, width)
+        def run(batches, machine=machine, last=last):
+            m = machine()
             for batch in batches:
-                cols = {k: batch.column(k).to_pylist() for k in ("text", "runs", "items")}
                 counts, runs, found = [], [], []
-                for text, old, had in zip(cols["text"], cols["runs"], cols["items"], strict=True):
-                    m, r, i = scan(machine, text) if len(machine) else (max(0, normal(text).count(b" ") - 1), [], set())
-                    counts.append(m)
+                for text, old, had in zip(batch.column("text"), batch.column("runs").to_pylist(), batch.column("items").to_pylist(), strict=True):
+                    c, r, i = m.scan(text.as_py())
+                    counts.append(c)
                     runs.append([x for se in union_runs(list(zip(old[::2], old[1::2], strict=True)), r) for x in se])
                     found.append(_sorted(i.union(had)))
                 text = batch.column("text") if keep_text or not last else pa.nulls(batch.num_rows, pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), text, pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))],
-                    names=STATE.names,
+                    names=["doc_id", "text", "n_words", "runs", "items"],
                 )
 
-        state = state.mapInArrow(run, STATE)
+        state = state.mapInArrow(run, schema)
         if not last:
             state = written(state, "decontam")
     return state
@@ -166,7 +169,6 @@ def scanned(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_byt
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     hit = F.aggregate(
         F.transform("runs", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x
     )
@@ -191,18 +193,13 @@ def contaminated_spans(text: str | None, runs: list[int]) -> list[tuple[int, int
 
 def stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pipeline form: documents that hold no window of the benchmark, with all their columns."""
-    spark = docs.sparkSession
-    schema, cols = docs.schema, docs.columns
-    for b, n, items in _blocks(benchmark, "item_id", "text", BLOCK_BYTES):
-        sent = spark.sparkContext.broadcast(items)
-        key = hashlib.sha256(repr((WIDTH, items)).encode()).hexdigest()
-
-        def run(batches, sent=sent, key=key):
-            machine = _machine(key, sent.value, WIDTH)
+    schema, place = docs.schema, docs.columns.index("text")
+    for b, n, machine in _blocks(benchmark, WIDTH, BLOCK_BYTES):
+
+        def run(batches, machine=machine):
+            m = machine()
             for batch in batches:
-                texts = batch.column(cols.index("text")).to_pylist()
-                clean = [not len(machine) or not scan(machine, t)[1] for t in texts]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+                yield batch.filter(pa.array([not m.scan(t.as_py())[1] for t in batch.column(place)], pa.bool_()))
 
         docs = docs.mapInArrow(run, schema)
         if b < n - 1:

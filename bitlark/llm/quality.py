@@ -6,14 +6,15 @@ documents have labels. A hidden layer embeds each passage; gated attention (a ta
 sigmoid branch) weighs the passages of a bag; the weighted sum is scored by a logistic output. All
 weights, attention included, are learned here from document labels by Adam, with fixed seeds.
 
-Learning rows: labelled documents whose crc32(doc_id as text) mod 4 is not 2, at most ``max_docs`` of
-them, the least by hash of the doc_id (the documented bound of the sample), each with at most
-``max_passages`` evenly spaced passages. That bounds what reaches the driver at every input size. Scoring is
-one pass over all rows and whole texts with no shuffle; the model (tens of kB) is broadcast.
+Learning rows: labelled documents of ``docs`` whose crc32(doc_id as text) mod 4 is not 2. The sample is bounded by ``max_docs`` documents and
+``max_passages`` passages together: the documents with the least hash of the doc_id, each with all its passages; one that would go over the
+passages that are left is passed over as a whole. That bounds what reaches the driver (376 bytes a passage) at every input size. Ids may be of
+any type. Scoring is one pass over all rows and whole texts with no shuffle; the model (tens of kB) is broadcast.
 
 Edge cases: a null or empty text is a bag of one empty passage and gets a score. Without labels every
 score is 0.5; with one class only, the smoothed share of label 1. Labels repeated for a doc_id are
-averaged; null labels and ids are not learned from; a null doc_id is not held out. Extra columns pass.
+averaged; of rows of ``docs`` that repeat a doc_id the least text is learned from, and each gets a score. Null labels and ids are not learned
+from; a null doc_id is not held out. An empty table gives an empty table. Very long texts are bags of many passages. Extra columns pass.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import span_hashes, text_slices
+from .common import span_hashes, text_of, text_slices, written
 
 PASSAGE = 48
 BUCKETS = 64
@@ -169,40 +170,51 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_passages: int = 512) -> dict[str, np.ndarray]:
-    """Weights learned from a bounded sample; ``docs`` needs doc_id and text, ``labels`` doc_id and quality."""
-    sample = (
+def sample(docs: DataFrame, labels: DataFrame, max_docs: int, max_passages: int) -> DataFrame:
+    """(k, label, text) of the documents that are learned from."""
+    labelled = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out())
-        .groupBy("doc_id")
+        .groupBy(F.col("doc_id").cast("string").alias("k"))
         .agg(F.avg(F.col("quality").cast("double")).alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(max_docs)
     )
-    rows = docs.select(F.col("doc_id").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
+    key = docs.select(F.col("doc_id").cast("string").alias("k"), F.col("text").alias("text"))
+    # only ids meet the labels, before the bound is applied; then a bounded table meets the texts
+    some = key.select("k").join(labelled, "k").distinct().orderBy(F.xxhash64("k"), "k").limit(max_docs)
+    met = key.join(F.broadcast(some), "k").groupBy("k", "label").agg(F.min("text").alias("text"))
+    met = written(met, "labelled")
+    passages = F.greatest(F.lit(1), F.ceil(F.regexp_count(text_of(), F.lit("[^\\x20\\x09-\\x0D]+")) / PASSAGE))
+    left, over = max_passages, []
+    for r in met.select("k", passages.alias("n")).orderBy(F.xxhash64("k"), "k").collect():  # max_docs rows at most
+        if r.n <= left:
+            left -= r.n
+        else:
+            over.append(r.k)
+    return met.where(~F.col("k").isin(over)) if over else met
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_passages: int = 100_000) -> dict[str, np.ndarray]:
+    """Weights learned from a bounded sample; ``docs`` needs doc_id and text, ``labels`` doc_id and quality."""
+    rows = sample(docs, labels, max_docs, max_passages)
 
     def features(batches):
         for batch in batches:
-            ids, labels_, out = batch.column(0), batch.column(1), []
+            out = []
             for at, end, raw, offsets in text_slices(batch.column(2)):
                 x, bags = encode(raw, offsets)
-                for i in range(end - at):
-                    bag = x[bags[i] : bags[i + 1]]
-                    if len(bag) > max_passages:
-                        bag = bag[np.linspace(0, len(bag) - 1, max_passages).astype(int)]
-                    out.append(bag.tobytes())
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), labels_, pa.array(out, pa.binary())], names=["doc_id", "label", "x"])
-
-    got = rows.mapInArrow(features, "doc_id long, label double, x binary").toArrow()
-    got = sorted(zip(got["doc_id"].to_pylist(), got["label"].to_pylist(), got["x"].to_pylist(), strict=True))
-    seen: set[int] = set()
-    got = [r for r in got if not (r[0] in seen or seen.add(r[0]))]
-    y = np.array([r[1] for r in got], np.float64)
+                out += [x[bags[i] : bags[i + 1]].tobytes() for i in range(end - at)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["k", "label", "x"])
+
+    got = rows.mapInArrow(features, "k string, label double, x binary").toArrow().sort_by("k").combine_chunks()
+    y = got["label"].to_numpy()
     if not len(y):
         return {"prior": np.asarray(0.5)}
     if (y >= 0.5).all() or (y < 0.5).all():
         return {"prior": np.asarray((y.sum() + 1) / (len(y) + 2))}
-    bags = [np.frombuffer(r[2], np.float32).reshape(-1, N_FEATURES) for r in got]
-    return learn(np.concatenate(bags), np.concatenate(([0], np.cumsum([len(b) for b in bags]))), y)
+    flat = got["x"].combine_chunks()
+    _, at, data = flat.buffers()
+    at = np.frombuffer(at, np.int32)[flat.offset : flat.offset + len(flat) + 1]
+    x = np.frombuffer(data, np.float32)[at[0] // 4 : at[-1] // 4].reshape(-1, N_FEATURES)
+    return learn(x, (at - at[0]).astype(np.int64) // (4 * N_FEATURES), y)
 
 
 def scores(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text", name: str = "score") -> DataFrame:
