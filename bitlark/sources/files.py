@@ -11,6 +11,21 @@ from pyspark.sql import SparkSession
 from ..errors import AlreadyExists
 
 
+# Hadoop's names of stores and the names by which Arrow knows them.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
+def opened(uri: str):
+    """(Arrow file system, path) of a path as Spark writes it, for Python workers."""
+    from pyarrow import fs
+
+    scheme, sep, rest = uri.partition(":")
+    if not sep:
+        return fs.FileSystem.from_uri(uri)
+    rest = "//" + rest if rest.startswith("/") and not rest.startswith("//") else rest
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
+
+
 class Files:
     def __init__(self, spark: SparkSession) -> None:
         self.jvm = spark._jvm

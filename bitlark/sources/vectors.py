@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import InvalidArgument
+from .files import opened
 
 
 def read_f32(spark: SparkSession, path: str, dims: int, rows_per_part: int = 65_536) -> DataFrame:
@@ -30,11 +31,9 @@ def read_f32(spark: SparkSession, path: str, dims: int, rows_per_part: int = 65_
     parts = spark.createDataFrame(plan, "path string, start long, length long, row long").repartition(len(plan), "path", "start")
 
     def run(batches):
-        from pyarrow import fs
-
         for batch in batches:
             for name, start, length, first in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                system, local = fs.FileSystem.from_uri(name if "://" in name else name.replace("file:", "file://", 1))
+                system, local = opened(name)
                 with system.open_input_file(local) as f:
                     data = f.read_at(length, start)
                 n = length // width
