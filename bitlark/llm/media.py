@@ -1,12 +1,12 @@
 """Media columns: payloads as PNG members of tar archives, read by a custom Spark data source.
 
 ``pack`` stores each text's UTF-8 bytes, filled with byte 255 to a positive multiple of 576, as the 8-bit grey samples of a
-lossless PNG, 576 samples a row. A task streams its members into one tar archive in a shared folder, beside an index of member offsets;
-a manifest lists the archives of the tasks that Spark counted, so files of lost or repeated attempts are never read.
+lossless PNG, 576 samples a row. A task streams its members into one tar archive in a shared folder, beside an index (an Arrow file) of
+offset, doc_id and length of its members, so an id may hold any characters and be of any length; a manifest lists the archives of the tasks that Spark counted, so files of lost or repeated attempts are never read.
 
 ``ArchiveSource`` (format ``bitlark_archive``) plans partitions as byte ranges over the archives of a folder: a range owns the members
 that begin in it. A reader finds its members in the index, streams them as Arrow batches of bounded size and retries each member alone, by its
-offset and with a fresh handle, if its header, checksum or length is wrong or the store fails. After ``retries`` a member fails
+offset and with a fresh handle, if its header, checksum or length is wrong or the store fails; samples are decoded once, by ``features``. After ``retries`` a member fails
 the read, or with ``mode=permissive`` comes as a row with ``error`` set and no media.
 
 Scale: no shuffle; memory is a batch and a member; what the driver sees is a row for each archive. The archives stay until the caller removes the folder.
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..sources.files import opened
 from .common import work_path
 
 UNIT = 576
@@ -38,6 +39,7 @@ UNIT = 576
 PNG = b"\x89PNG\r\n\x1a\n"
 BATCH_BYTES = 4 << 20
 RANGE_BYTES = 16 << 20
+INDEX = pa.schema([("offset", pa.int64()), ("doc_id", pa.string()), ("n_bytes", pa.int64())])
 MEMBER = "doc_id string, n_bytes long, archive string, offset long, media binary, error string"
 
 
@@ -64,11 +66,11 @@ def to_png(payload: bytes) -> bytes:
     return PNG + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 1)) + _chunk(b"IEND", b"")
 
 
-def from_png(data: bytes) -> bytes:
-    """The samples; any damage is refused."""
+def verified(data: bytes) -> tuple[tuple, bytes]:
+    """Header and packed samples of a PNG whose structure and checksums are right; any damage is refused."""
     if data[:8] != PNG:
         raise MediaError("not a PNG")
-    at, head, body = 8, None, []
+    at, head, body, kind = 8, None, [], b""
     while at < len(data):
         (n,), kind = struct.unpack_from(">I", data, at), data[at + 4 : at + 8]
         part = data[at + 8 : at + 8 + n]
@@ -79,9 +81,15 @@ def from_png(data: bytes) -> bytes:
         elif kind == b"IDAT":
             body.append(part)
         at += 12 + n
-    if head is None or head[0] != UNIT or head[2:] != (8, 0, 0, 0, 0):
+    if head is None or head[0] != UNIT or head[2:] != (8, 0, 0, 0, 0) or kind != b"IEND":
         raise MediaError("unknown layout")
-    lines = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(head[1], UNIT + 1)
+    return head, b"".join(body)
+
+
+def from_png(data: bytes) -> bytes:
+    """The samples."""
+    head, body = verified(data)
+    lines = np.frombuffer(zlib.decompress(body), np.uint8).reshape(head[1], UNIT + 1)
     if lines[:, 0].any():
         raise MediaError("unknown filter")
     return lines[:, 1:].tobytes()
@@ -98,41 +106,33 @@ def feature(payload: bytes) -> str:
 # -- archives --------------------------------------------------------------------
 
 
-def _open(uri: str):
-    from pyarrow import fs
-
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = "file://" + uri[5:]
-    return fs.FileSystem.from_uri(uri)
-
-
 def pack(docs: DataFrame, folder: str) -> int:
     """Writes the archives of ``docs`` (doc_id, text) below ``folder`` and their manifest; the number of members."""
-    system, path = _open(folder)
+    system, path = opened(folder)
     system.create_dir(path, recursive=True)
 
     def run(batches):
         name = f"part-{uuid.uuid4().hex}"
-        system, path = _open(folder)
-        out, offsets, at = None, [], 0
+        system, path = opened(folder)
+        out, index, at = None, [], 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if out is None:
                     out = system.open_output_stream(f"{path}/{name}.tar")
                 data = (text or "").encode("utf-8", "surrogatepass")
                 media = to_png(padded(data))
-                info = tarfile.TarInfo(f"{len(offsets)}/{'null' if doc is None else f'id-{doc}'}/{len(data)}.png")
+                info = tarfile.TarInfo(f"{len(index):012d}.png")
                 info.size = len(media)
                 block = info.tobuf(tarfile.USTAR_FORMAT) + media + b"\0" * (-len(media) % 512)
                 out.write(block)
-                offsets.append(at)
+                index.append((at, doc, len(data)))
                 at += len(block)
         if out is not None:
             out.write(b"\0" * 1024)
             out.close()
-            with system.open_output_stream(f"{path}/{name}.idx") as f:
-                f.write(np.array(offsets, "<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(offsets)], pa.int64()), pa.array([at], pa.int64())], names=["name", "members", "bytes"])
+            with system.open_output_stream(f"{path}/{name}.idx") as f, pa.ipc.new_file(f, INDEX) as w:
+                w.write_table(pa.table([pa.array(c, k) for c, k in zip(zip(*index, strict=True), INDEX.types, strict=True)], schema=INDEX))
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(index)], pa.int64()), pa.array([at], pa.int64())], names=["name", "members", "bytes"])
 
     parts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(run, "name string, members long, bytes long").collect()
     with system.open_output_stream(f"{path}/manifest.json") as f:  # a row for each task
@@ -167,7 +167,7 @@ class ArchiveReader(DataSourceReader):
         self.permissive = options.get("mode", "failfast") == "permissive"
 
     def partitions(self) -> list[Range]:
-        system, path = _open(self.folder)
+        system, path = opened(self.folder)
         with system.open_input_stream(f"{path}/manifest.json") as f:
             parts = json.loads(f.read())
         return [Range(name, at, min(at + self.range_bytes, size)) for name, _, size in parts for at in range(0, size, self.range_bytes)] or [Range("", 0, 0)]
@@ -175,14 +175,15 @@ class ArchiveReader(DataSourceReader):
     def read(self, partition: Range):
         if not partition.archive:
             return
-        system, path = _open(self.folder)
-        with system.open_input_stream(f"{path}/{partition.archive}.idx") as f:
-            offsets = np.frombuffer(f.read(), "<i8")
+        system, path = opened(self.folder)
+        with system.open_input_file(f"{path}/{partition.archive}.idx") as f:
+            index = pa.ipc.open_file(f).read_all()
         rows, size = [], 0
-        own = offsets[(offsets >= partition.start) & (offsets < partition.stop)]
+        at = index["offset"].to_numpy()
+        first, stop = np.searchsorted(at, (partition.start, partition.stop))  # offsets ascend
         handle = None
-        for at in map(int, own):
-            row, handle = self._member(system, f"{path}/{partition.archive}.tar", partition.archive, at, handle)
+        for entry in index.slice(first, stop - first).to_pylist():
+            row, handle = self._member(system, f"{path}/{partition.archive}.tar", partition.archive, entry, handle)
             rows.append(row)
             size += len(row[4] or b"")
             if size >= BATCH_BYTES:
@@ -191,8 +192,9 @@ class ArchiveReader(DataSourceReader):
         if rows:
             yield _batch(rows)
 
-    def _member(self, system, path: str, archive: str, at: int, handle):
+    def _member(self, system, path: str, archive: str, entry: dict, handle):
         """One member, tried on its own; a fresh handle after each failure."""
+        at = entry["offset"]
         for attempt in range(self.retries + 1):
             try:
                 handle = handle or system.open_input_file(path)
@@ -200,16 +202,15 @@ class ArchiveReader(DataSourceReader):
                 media = handle.read_at(info.size, at + 512)
                 if len(media) != info.size:
                     raise MediaError("short read")
-                from_png(media)
-                _, doc, rest = info.name.split("/")
-                return (None if doc == "null" else doc[3:], int(rest[:-4]), archive, at, media, None), handle
+                verified(media)
+                return (entry["doc_id"], entry["n_bytes"], archive, at, media, None), handle
             except (OSError, tarfile.TarError, MediaError, ValueError, struct.error, zlib.error) as e:
                 handle, error = None, f"{type(e).__name__}: {e}"
                 if attempt < self.retries:
                     time.sleep(0.05 * 2**attempt)
         if not self.permissive:
             raise MediaError(f"{archive} at {at}: {error}")
-        return (None, None, archive, at, None, error), None
+        return (entry["doc_id"], entry["n_bytes"], archive, at, None, error), None
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -59,7 +59,7 @@ def test_a_failing_read_is_repeated_for_its_member_only(spark, tmp_path, monkeyp
     folder = str(tmp_path / "a")
     media.pack(frame(spark, [(i, "t" * i) for i in range(5)]).coalesce(1).select("doc_id", "text"), folder)
     reader = media.ArchiveReader({"path": folder, "retries": "2"})
-    seen, real = [], media.from_png
+    seen, real = [], media.verified
 
     def flaky(data):
         seen.append(1)
@@ -67,8 +67,14 @@ def test_a_failing_read_is_repeated_for_its_member_only(spark, tmp_path, monkeyp
             raise OSError("store")
         return real(data)
 
-    monkeypatch.setattr(media, "from_png", flaky)
+    monkeypatch.setattr(media, "verified", flaky)
     monkeypatch.setattr(media.time, "sleep", lambda s: None)
     rows = [r for part in reader.partitions() for b in reader.read(part) for r in b.to_pylist()]
     assert len(rows) == 5 and len(seen) == 7
     assert os.path.exists(f"{folder}/manifest.json")
+
+
+def test_ids_of_any_kind(spark):
+    docs = [("a/b/../c", "x"), ("n" * 300, "y"), ("null", "z"), (None, None), ("é 日", "")]
+    got = media.digest(spark.createDataFrame(docs, "doc_id string, text string")).collect()
+    assert {(r.doc_id, r.n_bytes) for r in got} == {(d, len(t or "")) for d, t in docs}
