@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BASE, MASK64, POWERS, mix, text_slices, words_of, written
+from .common import BASE, MASK64, POWERS, discard, mix, text_slices, words_of, written
 
 SHINGLE = 5
 BANDS, ROWS = 25, 5
@@ -225,21 +225,29 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the component's least node, for each node of an edge (columns a, b) but that one."""
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    state = None
+    state = old = None
     while True:
         # large star: each greater neighbour goes to the least of the neighbourhood
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = _plain(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = written(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         # small star: each lesser neighbour, and the node itself, goes to the least
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        least = _plain(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         e = written(small.where("u <> v").distinct(), "stars")
+        for done in (low, large, least, old):
+            discard(done)
+        old = e
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == state:
             break
         state = tuple(now)
-    return e.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label")
+    return _plain(e.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label"), "labels")
+
+
+def _plain(df: DataFrame, what: str) -> DataFrame:
+    """An aggregate as a table: a join of two plain tables may be split where a key is hot, or broadcast if it is measured to be small."""
+    return written(df, what)
 
 
 def _residual(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
@@ -308,8 +316,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     banded = some.select("node", F.explode(keys).alias("key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("top")).where("low <> top").select("key")
     members = written(banded.join(shared, "key").distinct(), "members")
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
-    degrees = members.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("degree"))
+    sizes = _plain(members.groupBy("key").agg(F.count("*").alias("size")), "sizes")
+    degrees = _plain(members.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("degree")), "degrees")  # a row for a bucket, 25 a node at most
     hubs = members.join(degrees, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("h")).select("key", F.col("h.node").alias("hub"))
     pairs = members.join(written(hubs, "hubs"), "key").where("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
     texts = docs.select("text").mapInArrow(_with_node, "node long, text string").join(members.select("node").distinct(), "node", "left_semi")

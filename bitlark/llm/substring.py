@@ -9,14 +9,14 @@ A chunk is repeated if texts of two doc_ids or more hold these words at a cut. R
 least ``MIN_WORDS`` words is a repeated passage. Windows inside a common passage choose the same words in every text, so of a passage
 of n words a run has its first cut among the first ``WINDOW`` words and reaches at least to word n - ``WINDOW``: n - 21 words or more. The least run of
 30 words therefore finds all repeats of over 50 words, whatever the words are, and a single repeated sentence isn't one. At most 10 words before a run and 11
-after it stay where they are. The least doc_id that holds a chunk keeps it; other documents drop the chunks of their passages.
+after it stay where they are, and a common passage of 31 to 50 words may be marked, depending on its cuts. The least doc_id that holds a chunk keeps it; other documents drop the chunks of their passages.
 
 Scale: digests, ids and places are shuffled, never texts (about 33 bytes of text make one row of 28). Counting combines on
 the map side; the join back is a plain equi-join on the digest that adaptive execution may split where a passage is in a third of
 all documents. Runs are found per document from its repeated chunks only. Texts that lose passages are cut by a second scan.
 
 Edge cases: null and empty texts have no chunks; repeated rows of one doc_id are not a repeat across documents; a row without doc_id neither
-counts nor drops. Ties (the same passage twice in one document) follow the same rule. Whole texts are chunked. Extra columns pass ``drop``.
+counts nor drops; an empty table gives an empty table. Ties (the same passage twice in one document) follow the same rule. Whole texts are chunked. Extra columns pass ``drop``.
 """
 
 from __future__ import annotations
@@ -150,32 +150,35 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = []
-            for own, found in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                spans, group = [], []
-                for c in [*found, None]:
-                    if group and (c is None or c["place"] != group[-1]["place"] + 1):
-                        if sum(x["words"] for x in group) >= MIN_WORDS:
-                            for x in group:
-                                stop, gone = x["start"] + x["size"], x["keeper"] != own
-                                if spans and spans[-1]["stop"] == x["start"] and spans[-1]["keeper"] == x["keeper"]:
-                                    spans[-1]["stop"] = stop
-                                else:
-                                    spans.append({"first": x["start"], "stop": stop, "keeper": x["keeper"], "drop": gone})
-                        group = []
-                    if c is not None:
-                        group.append(c)
-                out.append(spans)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, SPANS_PA(batch.column(0).type))], names=["id", "th", "spans"])
+            ids, lists = batch.column(0), batch.column(2)
+            ends = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten()
+            doc = np.repeat(np.arange(len(ids)), ends)
+            place, start, size, words = (flat.field(i).to_numpy().astype(np.int64) for i in range(4))
+            # ids as numbers, so keepers of any type compare as arrays
+            both = pa.chunked_array([ids, flat.field(4)]).combine_chunks().dictionary_encode().indices.to_numpy()
+            own, keeper = both[: len(ids)][doc], both[len(ids) :]
+            fresh = np.ones(len(doc), bool)
+            fresh[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1)
+            run_of = np.cumsum(fresh) - 1
+            long = np.bincount(run_of, weights=words, minlength=1)[run_of] >= MIN_WORDS if len(doc) else fresh
+            at = np.flatnonzero(long)
+            # a stretch: chunks of one run and one keeper
+            cut = np.ones(len(at), bool)
+            cut[1:] = (run_of[at[1:]] != run_of[at[:-1]]) | (keeper[at[1:]] != keeper[at[:-1]])
+            first = at[cut]
+            last = at[np.append(np.flatnonzero(cut)[1:], len(at)) - 1] if len(at) else at
+            spans = pa.StructArray.from_arrays(
+                [pa.array(start[first], pa.int32()), pa.array(start[last] + size[last], pa.int32()), flat.field(4).take(pa.array(first)), pa.array(keeper[first] != own[first])],
+                names=["first", "stop", "keeper", "drop"],
+            )
+            offsets = np.concatenate(([0], np.cumsum(np.bincount(doc[first], minlength=len(ids)))))
+            yield pa.RecordBatch.from_arrays([ids, batch.column(1), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)], names=["id", "th", "spans"])
 
     spans = f"id {kind}, th long, spans array<struct<first:int,stop:int,keeper:{kind},drop:boolean>>"
     return mine.select("id", "th", "c").mapInArrow(run, spans).where(F.size("spans") > 0)
 
 
-def SPANS_PA(kind: pa.DataType) -> pa.DataType:
-    return pa.list_(pa.struct([("first", pa.int32()), ("stop", pa.int32()), ("keeper", kind), ("drop", pa.bool_())]))
-
-
 def drop(docs: DataFrame) -> DataFrame:
     """``docs`` without the passages that another document keeps, and _sd_spans, the repeated passages (null if none)."""
     schema, cols = docs.schema, docs.columns
