@@ -56,6 +56,24 @@ def rows_per_block(dims: int) -> int:
     return (1 << BLOCK_BITS) // row_bits(dims)
 
 
+def crossover(m: int, dims: int) -> int:
+    """Live documents for each admitted one from which fetching rows beats a scan, by the share of set bits in the query."""
+    share = m / max(dims, 1)
+    return 11 if share >= 0.40 else 256 if share >= 0.10 else 512
+
+
+def row_base(doc_id: int, dims: int) -> tuple[int, int]:
+    """Block of rows and first bit in it of a document's forward row."""
+    per = rows_per_block(dims)
+    return doc_id // per, ((doc_id // per) << BLOCK_BITS) + doc_id % per * row_bits(dims)
+
+
+def binary_weight(code: Column, size: int) -> Column:
+    """Set bits of a binary column of ``size`` bytes, a multiple of 8."""
+    words = F.transform(F.sequence(F.lit(0), F.lit(size // 8 - 1)), lambda i: F.bit_count(F.conv(F.hex(F.substring(code, i * 8 + 1, F.lit(8))), 16, -10).cast("long")))
+    return F.aggregate(words, F.lit(0), lambda a, x: a + x)
+
+
 def complement_planes(dims: int) -> int:
     """Planes that hold D - w: the bit length of the width."""
     return dims.bit_length()
@@ -80,7 +98,7 @@ def ascending(positions: Sequence[int]) -> list[int]:
     """Sparse positions, refused unless strictly ascending and not negative."""
     p = list(positions)
     if any(x < 0 for x in p) or any(a >= b for a, b in zip(p, p[1:], strict=False)):
-        raise InvalidArgument("sparse positions must be strictly ascending")
+        raise InvalidArgument("positions of a sparse code have to grow from one to the next")
     return p
 
 

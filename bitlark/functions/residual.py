@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,11 +55,11 @@ def normalize(x: np.ndarray, dims: int) -> np.ndarray:
     if x.ndim != 2 or x.shape[1] != dims:
         raise DimensionMismatch(dims, x.shape[-1])
     if not np.isfinite(x).all():
-        raise InvalidVector("input vector is not finite")
+        raise InvalidVector("a component is NaN or infinite")
     wide = x.astype(np.float64)
     square = np.cumsum(wide * wide, axis=1)[:, -1]  # summed in order
     if (square == 0).any() or not np.isfinite(square).all():
-        raise InvalidVector("input vector does not have a finite positive norm")
+        raise InvalidVector("the vector has no length to divide by")
     return (wide / np.sqrt(square)[:, None]).astype(np.float32)
 
 
@@ -119,7 +119,7 @@ class Model:
         if magic != MODEL_MAGIC:
             raise CorruptModel("not a model file")
         if version != MODEL_VERSION:
-            raise CorruptModel("unsupported model version")
+            raise CorruptModel("a version that this reader does not know")
         if (signs, bits, zero) != (SIGNS, NORM_BITS, 0):
             raise CorruptModel("codec geometry doesn't match")
         n = SIGNS * dims
@@ -163,7 +163,7 @@ class Model:
         signs = self.signs_of(x)
         square = self.decoded_squares(signs)
         if (square == 0).any():
-            raise InvalidModel("document decodes to a zero-length vector")
+            raise InvalidModel("the signs of a document decode to nothing")
         raw = np.rint(1.0 / np.sqrt(square.astype(np.float64)) / self.norm_step) - float(self.norm_offset)
         return pack(signs, np.clip(raw, 0, MAX_NORM_CODE).astype(np.int64))
 
@@ -212,18 +212,28 @@ class PreparedQuery:
 # -- columns -------------------------------------------------------------------
 
 
+def _matrix(x: pa.Array, dims: int) -> np.ndarray:
+    """float32 [n, dims] of a list array, from its buffer."""
+    ends = x.offsets.to_numpy()
+    if x.null_count or (np.diff(ends) != dims).any():
+        bad = np.flatnonzero(np.diff(ends) != dims)
+        raise DimensionMismatch(dims, int(np.diff(ends)[bad[0]]) if len(bad) else 0)
+    return x.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(len(x), dims)
+
+
+def _fixed(rows: np.ndarray) -> pa.Array:
+    """BINARY rows of a uint8 matrix."""
+    n, size = rows.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * size, size, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
 def encode_column(spark: SparkSession, model: Model, embedding: Column) -> Column:
     """BINARY(64) of ARRAY<FLOAT>; any invalid vector fails the job, so no partial batch is kept."""
-    sent = spark.sparkContext.broadcast(model.to_bytes())
+    sent = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("binary")
-    def run(x: pd.Series) -> pd.Series:
-        m = Model.from_bytes(sent.value)
-        rows = [np.asarray(v if v is not None else [], np.float32) for v in x]
-        for r in rows:
-            if len(r) != m.dims:
-                raise DimensionMismatch(m.dims, len(r))
-        return pd.Series([c.tobytes() for c in m.encode(np.stack(rows))] if rows else [], dtype=object)
+    @F.arrow_udf("binary")
+    def run(x: pa.Array) -> pa.Array:
+        return _fixed(sent.value.encode(_matrix(x, sent.value.dims)))
 
     return run(embedding)
 
@@ -232,14 +242,22 @@ def score_column(spark: SparkSession, query: PreparedQuery, code: Column) -> Col
     """BIGINT score of a BINARY(64) code."""
     sent = spark.sparkContext.broadcast(query)
 
-    @F.pandas_udf("long")
-    def run(x: pd.Series) -> pd.Series:
-        return pd.Series(sent.value.score(np.frombuffer(b"".join(x), np.uint8)))
+    @F.arrow_udf("long")
+    def run(x: pa.Array) -> pa.Array:
+        _, ends, data = x.buffers()
+        ends = np.frombuffer(ends, np.int32)[x.offset : x.offset + len(x) + 1]
+        if x.null_count or (np.diff(ends) != CODE_BYTES).any():
+            raise InvalidArgument("a stored code is not 64 bytes")
+        return pa.array(sent.value.score(np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]) if len(x) else [], pa.int64())
 
     return run(code)
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def l2_normalize(x: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def l2_normalize(x: pa.Array) -> pa.Array:
     """Unit-length float32 vectors by a float64 norm; a zero or non-finite vector is refused."""
-    return pd.Series([normalize(np.asarray(v, np.float32).reshape(1, -1), len(v))[0] for v in x], dtype=object)
+    sizes = np.diff(x.offsets.to_numpy())
+    if not len(sizes):
+        return pa.array([], pa.list_(pa.float32()))
+    flat = normalize(_matrix(x, int(sizes[0])), int(sizes[0])).ravel()
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, sizes[0], dtype=np.int32)), pa.array(flat))

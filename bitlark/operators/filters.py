@@ -188,3 +188,19 @@ def model(f: Filter, live: set[int], tags: dict[int, set[int]]) -> set[int]:
     if isinstance(f, Or):
         return reduce(lambda a, b: a | b, [model(p, live, tags) for p in f.parts], set())
     return live - model(f.part, live, tags)
+
+
+def at_most(f: Filter) -> int | None:
+    """An upper bound of the documents that a filter admits, from its own ids; None if it has none."""
+    if isinstance(f, Nothing):
+        return 0
+    if isinstance(f, Ids):
+        return len(set(f.ids))
+    if isinstance(f, IdRange):
+        return max(0, f.hi - f.lo)
+    if isinstance(f, (And, Or)):
+        parts = [at_most(p) for p in f.parts]
+        if isinstance(f, Or):
+            return None if None in parts else sum(parts)
+        return min((p for p in parts if p is not None), default=None)
+    return None

@@ -35,6 +35,7 @@ class Corpus:
     stats: DataFrame | None = None
     residual: bool = False
     version: int = 0
+    postings: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -94,6 +95,8 @@ class Search:
 
     def _intersected(self, docs: DataFrame) -> DataFrame:
         """doc_id, weight, inter."""
+        if self.path == "inverted" and self.corpus.postings is not None:
+            return self._posted(docs)
         if self.path == "inverted" or self.kernel == "relational":
             return _relational(docs, codes.to_positions(self.query, self.corpus.dims), self.corpus.dims)
         if self.kernel == "hof":
@@ -116,33 +119,101 @@ class Search:
     def _top(self, rows: DataFrame) -> DataFrame:
         return rows.orderBy(F.col("_key").desc(), "doc_id").limit(self.k)
 
+    def _posted(self, docs: DataFrame) -> DataFrame:
+        """From stored postings: only the lists of the query's bits are read, no code is."""
+        dims = codes.to_positions(self.query, self.corpus.dims)
+        lists = self.corpus.postings.where(F.col("dim").isin(dims))
+        if not isinstance(self.filter, filters.All):
+            lists = lists.join(docs.select("doc_id"), "doc_id", "left_semi")
+        counts = lists.groupBy("doc_id", "weight").agg(F.count("*").cast("int").alias("inter"))
+        # a document without a common bit scores 0, but for Hamming; k others are enough then
+        if self.metric != "hamming" and counts.limit(self.k).count() == self.k:
+            return counts.select("doc_id", "weight", "inter")
+        rest = docs.select("doc_id", "weight").join(counts.select("doc_id", "inter"), "doc_id", "left")
+        return rest.withColumn("inter", F.coalesce("inter", F.lit(0)))
+
+    def planned(self) -> tuple[str, str]:
+        """(path, reason), without a job. ``auto`` gathers where the filter's own ids are few for a block of documents (they are pushed into the scan),
+        else reads postings where they are stored and few of them are asked for, else scans."""
+        if self.path != "auto":
+            return self.path, "forced"
+        most = filters.at_most(self.filter)
+        if most is not None and most * codes.crossover(self.m, self.corpus.dims) <= 1 << codes.BLOCK_BITS:
+            return "gather", f"the filter admits at most {most}"
+        if self.corpus.postings is not None and self.metric != "hamming" and 4 * self.m <= self.corpus.dims:
+            return "inverted", "few of the stored lists are asked for"
+        return "dense", "columnar scan"
+
     def threshold(self) -> metrics.Score | None:
-        """The k-th best score among the k documents with the largest intersections: a lower bound of the k-th best."""
-        seeds = self._score(self._intersected(self._admitted())).orderBy(F.col("inter").desc(), "doc_id").limit(self.k)
-        got = [metrics.score(self.metric, r.inter, r.weight, self.m) for r in seeds.select("inter", "weight").collect()]
+        """The k-th best score among some admitted documents: a lower bound of the k-th best of all.
+
+        With block statistics the documents are those of the blocks whose weights promise most, else the k with the largest intersections.
+        """
+        rows = self._admitted()
+        first = self._promising()
+        if first:
+            got = self._seeds(self._score(self._intersected(rows.where(F.col("block").isin(first)))).orderBy(F.col("_key").desc(), "doc_id"))
+            if got:
+                return got
+        return self._seeds(self._score(self._intersected(rows)).orderBy(F.col("inter").desc(), "doc_id"))
+
+    def _seeds(self, best: DataFrame) -> metrics.Score | None:
+        got = [metrics.score(self.metric, r.inter, r.weight, self.m) for r in best.select("inter", "weight").limit(self.k).collect()]
         return min(got, key=lambda s: s.key) if self.k and len(got) == self.k else None
 
+    def _block_best(self) -> DataFrame:
+        """(block, n, num, den): no document of the block scores more, by its range of weights."""
+        m, lo, hi = F.lit(self.m).cast("long"), F.col("w_min").cast("long"), F.col("w_max").cast("long")
+        nearest = F.least(hi, F.greatest(lo, m))  # the weight of the range that is nearest to the query's
+        num, den = metrics.num_den(self.metric, F.least(m, hi if self.metric == "dot" else nearest), nearest, self.m)
+        return self.corpus.stats.select("block", "n", num.alias("num"), den.alias("den"))
+
+    def _promising(self) -> list[int]:
+        """Blocks that together have k documents, best first."""
+        if self.corpus.stats is None or not self.k:
+            return []
+        found, left = [], self.k
+        for r in self._block_best().orderBy(metrics.key(F.col("num"), F.col("den")).desc(), "block").limit(self.k).collect():
+            found.append(r.block)
+            left -= r.n
+            if left <= 0:
+                return found
+        return []
+
+    def _candidates(self) -> DataFrame:
+        """The admitted documents that can be among the best k; without ``prune`` all."""
+        rows = self._admitted()
+        tau = self.threshold() if self.prune else None
+        if tau is None:
+            return rows
+        span = metrics.weight_range(self.metric, tau, self.m)
+        if span:  # literals, so Parquet skips row groups of weight-sorted files
+            rows = rows.where(F.col("weight").between(*span))
+        if self.corpus.stats is not None:
+            # exact integers: num / den < tau
+            worse = F.col("num").cast("decimal(38,0)") * F.lit(tau.den) < F.col("den").cast("decimal(38,0)") * F.lit(tau.num)
+            rows = rows.join(self._block_best().where(worse).select("block"), "block", "left_anti")
+        return rows
+
     def frame(self) -> DataFrame:
         """The hits in rank order (``HIT``)."""
         if self.corpus.residual:
             raise BinarySearchOnResidualIndex("this index holds residual codes")
-        rows = self._admitted()
-        if self.prune:
-            tau = self.threshold()
-            span = metrics.weight_range(self.metric, tau, self.m) if tau else None
-            if span:  # literals, so Parquet skips row groups of weight-sorted files
-                rows = rows.where(F.col("weight").between(*span))
-        return hits(self._top(self._score(self._intersected(rows))), self.metric)
+        if self.path == "auto" and self.planned()[0] == "inverted":
+            return replace(self, path="inverted").frame()
+        return hits(self._top(self._score(self._intersected(self._candidates()))), self.metric)
 
     # -- reports ---------------------------------------------------------------
 
     def scan_stats(self) -> DataFrame:
-        """One row: scored documents, blocks visited, resumes and versions of the pinned answer."""
-        rows = self._admitted()
-        return rows.agg(
-            F.count("*").alias("scored"),
-            F.count_distinct(codes.block_of(F.col("doc_id"))).alias("blocks_visited"),
-            F.lit(0).cast("long").alias("resumes"),
+        """One row: scored documents, blocks they are in, other live blocks (nothing admitted, or pruned), resumes and versions of the pinned answer."""
+        rows = self._candidates().agg(F.count("*").alias("scored"), F.count_distinct(codes.block_of(F.col("doc_id"))).alias("blocks_visited"))
+        live = self.corpus.docs.agg(F.count_distinct(codes.block_of(F.col("doc_id"))).alias("blocks"))
+        return rows.crossJoin(live).select(  # one row each
+            "scored",
+            "blocks_visited",
+            (F.col("blocks") - F.col("blocks_visited")).alias("blocks_skipped"),
+            F.lit(0).cast("long").alias("resumes"),  # a pinned version isn't evicted under the scan
             F.lit(self.corpus.version).cast("long").alias("version_lo"),
             F.lit(self.corpus.version).cast("long").alias("version_hi"),
         )
@@ -210,36 +281,57 @@ def _block(rows: DataFrame, queries: list[tuple[int, list[int]]], metric: str, k
         got = sent.value
         qw = np.array([w for _, w in got], np.uint64).reshape(len(got), codes.words_for(dims))
         m = np.bitwise_count(qw).sum(1, dtype=np.int64)
+        used = [np.flatnonzero(q) for q in qw]
         keep: list[tuple] = [()] * len(got)
+        floor = [None] * len(got)  # the k-th best key so far
         for batch in batches:
-            doc, w = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
+            doc, w = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int32)
             if wide:
-                x = batch.column(2).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
+                x = np.ascontiguousarray(batch.column(2).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1).T)
             else:
-                x = np.stack([c.to_numpy().view(np.uint64) for c in batch.columns[2:]], axis=1)
+                x = [c.to_numpy().view(np.uint64) for c in batch.columns[2:]]
             for q in range(len(got)):
-                used = np.flatnonzero(qw[q])
-                a = np.bitwise_count(x[:, used] & qw[q][used]).sum(1, dtype=np.int64)
-                num, den = _numbers(metric, a, w, m[q])
-                key = num / den
-                cut = np.arange(len(key))
-                if len(key) > k > 0:  # all ties of the k-th stay
+                a = np.zeros(len(doc), np.int32)
+                for j in used[q]:
+                    a += np.bitwise_count(x[j] & qw[q, j])
+                key = _keys(metric, a, w, int(m[q]))
+                if floor[q] is not None:
+                    cut = np.flatnonzero(key >= floor[q])
+                elif len(key) > k > 0:  # all ties of the k-th stay
                     cut = np.flatnonzero(key >= np.partition(key, len(key) - k)[len(key) - k])
-                now = [z[cut] for z in (key, doc, a, w, num, den)]
+                else:
+                    cut = np.arange(len(key))
+                if not len(cut):
+                    continue
+                now = [z[cut] for z in (key, doc, a, w)]
                 if keep[q]:
                     now = [np.concatenate(z) for z in zip(keep[q], now, strict=True)]
                 order = np.lexsort((now[1], -now[0]))[:k]
                 keep[q] = tuple(z[order] for z in now)
+                if len(order) == k > 0:
+                    floor[q] = keep[q][0][-1]
         for q, z in enumerate(keep):
             if z and len(z[0]):
+                a, w = z[2].astype(np.int64), z[3].astype(np.int64)
+                num, den = _numbers(metric, a, w, m[q])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(z[0]), got[q][0], np.int64)), pa.array(z[0]), pa.array(z[1]), pa.array(z[2].astype(np.int32)), pa.array(z[3].astype(np.int32)), pa.array(z[4]), pa.array(z[5])],
+                    [pa.array(np.full(len(a), got[q][0], np.int64)), pa.array(num / den), pa.array(z[1]), pa.array(z[2]), pa.array(z[3]), pa.array(num), pa.array(den)],
                     names=["query_id", "_key", "doc_id", "inter", "weight", "num", "den"],
                 )
 
     return rows.mapInArrow(run, "query_id long, _key double, doc_id long, inter int, weight int, num long, den long")
 
 
+def _keys(metric: str, a: np.ndarray, w: np.ndarray, m: int) -> np.ndarray:
+    """What orders like num / den, for int32 intersections and weights: integers, or the quotient itself."""
+    if metric == "dot":
+        return a
+    if metric == "hamming":
+        return 2 * a - w
+    num, den = (a, m + w - a) if metric == "jaccard" else (a.astype(np.int64) ** 2, m * w.astype(np.int64))
+    return np.where(den == 0, 0.0, num / np.where(den == 0, 1, den))
+
+
 def _numbers(metric: str, a: np.ndarray, w: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
     one = np.ones_like(a)
     if metric == "dot":

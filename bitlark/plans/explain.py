@@ -6,15 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import BinarySearchOnResidualIndex
+from ..functions.codes import crossover
 from ..operators.search import Search
 
 
-def crossover(m: int, dims: int) -> int:
-    """Regime of the query's width, for the report only; Spark picks its own joins."""
-    share = m / max(dims, 1)
-    return 11 if share >= 0.40 else 256 if share >= 0.10 else 512
-
-
 def accumulator_levels(metric: str, m: int, dims: int) -> int:
     return max(1, 2 * m + dims if metric == "hamming" else m).bit_length()
 
@@ -31,10 +26,11 @@ def explain(search: Search, stats: DataFrame | None = None) -> DataFrame:
     else:
         spread = stats.agg(F.count("*").alias("blocks_with_stats"), F.floor(F.sum(F.col("w_max") - F.col("w_min")) / F.count("*")).cast("int").alias("block_weight_spread"))
         facts = blocks.crossJoin(spread)  # one row each
+    path, reason = search.planned()
     ratio = search.metric in ("jaccard", "cosine")
     return facts.select(
-        F.lit("columnar scan" if search.path == "auto" else search.path).alias("path"),
-        F.lit("default" if search.path == "auto" else "forced").alias("path_reason"),
+        F.lit("columnar scan" if path == "dense" and search.path == "auto" else path).alias("path"),
+        F.lit(reason).alias("path_reason"),
         F.lit(search.kernel).alias("kernel"),
         F.lit(search.metric).alias("metric"),
         F.lit(search.k).alias("k"),

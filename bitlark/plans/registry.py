@@ -5,7 +5,9 @@ The SQL is written another way than the engine: bits are unnested and counted, w
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -13,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..errors import InvalidArgument
 from ..functions import codes, fit, metrics, residual
 from ..operators import compaction, recall, search
 from ..operators.filters import All, And, Filter, IdRange, Ids, Not, Nothing, Or, Term
@@ -107,19 +110,45 @@ def _live_count(s, d):
     return corpora.signs(s, d).count()
 
 
-@_add("point_lookup", f"WITH {_SIGN} {_COUNTS} SELECT doc_id, weight FROM wts WHERE doc_id = 17")
+def _scratch(s: SparkSession) -> str:
+    """A fresh folder where the cluster shares files; on one machine without such a folder a temporary one."""
+    shared = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()
+    if shared:
+        return f"{shared.rstrip('/')}/bitlark-index-{uuid.uuid4().hex}"
+    if not re.fullmatch(r"local(\[.*\])?", s.sparkContext.master):
+        raise InvalidArgument("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="bitlark-index-")
+
+
+def _sign_index(s: SparkSession, d: str) -> Index:
+    """The embeddings' sign codes and tags, stored."""
+    v = corpora.embeddings(s, d)
+    words = F.array(*codes.sign_words(F.col("embedding"), corpora.SIGN_DIMS))
+    tags = corpora.attrs(v).groupBy("doc_id").agg(F.collect_list("term").alias("terms"))
+    rows = v.select("doc_id", words.alias("words")).join(tags, "doc_id", "left")
+    index = Index.create(s, _scratch(s), corpora.SIGN_DIMS)
+    index.apply(rows.select(F.col("doc_id").alias("seq"), F.lit("put").alias("op"), "doc_id", "words", "terms"))
+    return index
+
+
+@_add("point_lookup", f"WITH {_SIGN} {_COUNTS} SELECT doc_id, weight FROM wts WHERE doc_id IN (17, 18)")
 def _point(s, d):
-    return corpora.signs(s, d).docs.where("doc_id = 17").select("doc_id", "weight")
+    return _sign_index(s, d).lookup(17, 18, 10**9).select("doc_id", "weight")
 
 
 @_add("max_doc_id", "SELECT max(vec_id) AS max_doc_id FROM embeddings")
 def _max(s, d):
-    return corpora.signs(s, d).docs.agg(F.max("doc_id").alias("max_doc_id"))
+    return _sign_index(s, d).max_doc_id()
 
 
 @_add("scan_live", f"WITH {_SIGN} {_COUNTS} SELECT doc_id, (doc_id >> 16)::INTEGER AS block, weight FROM wts")
 def _scan(s, d):
-    return corpora.signs(s, d).docs.select("doc_id", "block", "weight")
+    return _sign_index(s, d).docs().select("doc_id", "block", "weight")
+
+
+@_add("term_range", "WITH t AS (SELECT vec_id, unnest(list_concat(CASE WHEN vec_id % 3 = 0 THEN [1] ELSE [] END, CASE WHEN vec_id % 2 = 0 THEN [2] ELSE [] END, [label + 10])) AS term FROM embeddings) SELECT term::INTEGER AS term, count(*)::BIGINT AS n FROM t WHERE term >= 2 AND term < 14 GROUP BY 1")
+def _terms(s, d):
+    return _sign_index(s, d).terms(2, 14)
 
 
 # -- scalar functions ------------------------------------------------------------
@@ -290,23 +319,79 @@ def _batch(s, d):
     return search.search_batch(c, queries)
 
 
-@_add("explain_plan", f"WITH {_SIGN} {_COUNTS} SELECT 'columnar scan' AS path, 'jaccard' AS metric, 10 AS k, (SELECT m FROM m)::INTEGER AS query_bits, 64 AS dims, count(DISTINCT doc_id >> 16)::BIGINT AS blocks, count(DISTINCT doc_id >> 16)::BIGINT AS blocks_with_stats, (max(weight) - min(weight))::INTEGER AS block_weight_spread FROM wts")
+_FACTS = f"SELECT count(DISTINCT doc_id >> 16)::BIGINT AS blocks, count(DISTINCT doc_id >> 16)::BIGINT AS blocks_with_stats, (max(weight) - min(weight))::INTEGER AS block_weight_spread FROM wts"
+
+
+@_add(
+    "explain_plan",
+    f"""WITH {_SIGN} {_COUNTS} SELECT 'columnar scan' AS path, 'jaccard' AS metric, 10 AS k, (SELECT m FROM m)::INTEGER AS query_bits, 64 AS dims, f.*,
+  (CASE WHEN m.m / 64.0 >= 0.4 THEN 11 WHEN m.m / 64.0 >= 0.1 THEN 256 ELSE 512 END)::INTEGER AS crossover, length(bin(greatest(1, m.m)))::INTEGER AS accumulator_levels FROM m, ({_FACTS}) f""",
+)
 def _explain(s, d):
-    c, q = _sign_query(s, d)
-    stats = c.docs.groupBy("block").agg(F.min("weight").alias("w_min"), F.max("weight").alias("w_max"))
-    return explain(c.search(q, metric="jaccard"), stats).select("path", "metric", "k", "query_bits", "dims", "blocks", "blocks_with_stats", "block_weight_spread")
+    index = _sign_index(s, d)
+    index.refresh_stats()
+    c = index.corpus()
+    facts = explain(c.search(corpora.code_of(c, QUERY), metric="jaccard"))
+    return facts.select("path", "metric", "k", "query_bits", "dims", "blocks", "blocks_with_stats", "block_weight_spread", "crossover", "accumulator_levels")
 
 
-@_add("describe_index", "SELECT count(*)::BIGINT AS live, count(DISTINCT vec_id >> 16)::BIGINT AS blocks, 0::BIGINT AS blocks_with_stats, 'binary' AS kind FROM embeddings")
+@_add("describe_index", "SELECT count(*)::BIGINT AS live, count(DISTINCT vec_id >> 16)::BIGINT AS blocks, max(vec_id) AS max_doc_id, count(DISTINCT vec_id >> 16)::BIGINT AS blocks_with_stats, 64::BIGINT AS dims, 'binary' AS kind, 2::BIGINT AS version FROM embeddings")
 def _describe(s, d):
-    c = corpora.signs(s, d)
-    return c.docs.agg(F.count("*").alias("live"), F.count_distinct("block").alias("blocks"), F.lit(0).cast("long").alias("blocks_with_stats"), F.lit("binary").alias("kind"))
+    index = _sign_index(s, d)
+    index.refresh_stats()
+    got = index.describe()
+    kinds = "live long, blocks long, max_doc_id long, blocks_with_stats long, dims long, kind string, version long"
+    return s.createDataFrame([tuple(got[k.split()[0]] for k in kinds.split(", "))], kinds)
 
 
-@_add("scan_stats", f"SELECT count(*)::BIGINT AS scored, count(DISTINCT doc_id >> 16)::BIGINT AS blocks_visited, 0::BIGINT AS resumes, 0::BIGINT AS version_lo, 0::BIGINT AS version_hi FROM {_TAGGED} WHERE t1")
+@_add("scan_stats", f"SELECT count(*) FILTER (WHERE t1)::BIGINT AS scored, count(DISTINCT doc_id >> 16) FILTER (WHERE t1)::BIGINT AS blocks_visited, count(DISTINCT doc_id >> 16) - count(DISTINCT doc_id >> 16) FILTER (WHERE t1) AS blocks_skipped, 0::BIGINT AS resumes, 1::BIGINT AS version_lo, 1::BIGINT AS version_hi FROM {_TAGGED}")
 def _stats(s, d):
-    c, q = _sign_query(s, d)
-    return c.search(q, filter=_ONE).scan_stats()
+    c = _sign_index(s, d).corpus()
+    return c.search(corpora.code_of(c, QUERY), filter=_ONE).scan_stats()
+
+
+@_add("path_postings", _hits_sql("jaccard", _SIGN, where="doc_id % 3 = 0"))
+def _postings(s, d):
+    index = _sign_index(s, d)
+    index.refresh_postings()
+    c = index.corpus()
+    return c.search(corpora.code_of(c, QUERY), metric="jaccard", path="inverted", filter=_ONE).frame()
+
+
+# ids spread over blocks: a block has 64 orders; codes from the key, so weights vary
+_ORDER = "SELECT o_orderkey * 1024 AS doc_id, o_orderkey * 2654435761 % 4294967296 & (o_orderkey * 40503 % 4294967296) AS w FROM orders"
+
+
+def _order_index(s: SparkSession, d: str) -> Index:
+    key = F.col("o_orderkey")
+    word = (key * 2654435761 % 4294967296).bitwiseAND(key * 40503 % 4294967296)
+    index = Index.create(s, _scratch(s), 64)
+    index.apply(corpora.table(s, d, "orders").select(key.alias("seq"), F.lit("put").alias("op"), (key * 1024).alias("doc_id"), F.array(word).alias("words")))
+    return index
+
+
+def _order_hits(ids: str, metric: str) -> str:
+    num, den = _NUM[metric]
+    shown = "sqrt(num::DOUBLE / den::DOUBLE)" if metric == "cosine" else "num::DOUBLE / den::DOUBLE"
+    return f"""WITH o AS ({_ORDER}), q AS (SELECT w, bit_count(w)::BIGINT AS m FROM o ORDER BY doc_id LIMIT 1 OFFSET 7),
+i AS (SELECT doc_id, w, ({ids})::BIGINT AS id FROM o), x AS (SELECT id AS doc_id, bit_count(i.w & q.w)::INTEGER AS inter, bit_count(i.w)::INTEGER AS weight, m FROM i, q),
+s AS (SELECT doc_id, inter, weight, {num} AS num, {den} AS den FROM x)
+SELECT (row_number() OVER (ORDER BY num::DOUBLE / den::DOUBLE DESC, doc_id))::INTEGER AS rank, doc_id, inter, weight, num, den, {str(metric == "cosine").lower()} AS square_root, {shown} AS score FROM s ORDER BY 1 LIMIT 10"""
+
+
+for _name, _ids, _m in (
+    ("search_jaccard_blocks", "doc_id", "jaccard"), ("search_jaccard_sorted", "row_number() OVER (ORDER BY bit_count(w) DESC, doc_id) - 1", "jaccard"), ("search_hamming_blocks", "doc_id", "hamming"),
+):
+
+    @_add(_name, _order_hits(_ids, _m))
+    def _blocks(s, d, sort="row_number" in _ids, metric=_m):
+        """Pruned by block statistics, with ids as they come and with ids that a compaction has put in order of weight."""
+        index = _order_index(s, d)
+        word = index.docs().orderBy("doc_id").limit(8).agg(F.max_by("w0", "doc_id")).first()[0]
+        if sort:
+            index.acknowledge(index.compact()[0])
+        index.refresh_stats()
+        return index.search((word,), metric=metric, prune=True).frame()
 
 
 # -- recall ------------------------------------------------------------------------
@@ -349,29 +434,55 @@ def _boundary(s, d):
 
 # -- residual codec ----------------------------------------------------------------
 
-_MODELS: dict[str, fit.Fit] = {}
+# A small model by a rule: 4 components, each atom on one of them, so SQL can follow the greedy signs component by component.
+_STEP = 1e-5
+
+
+def fixed_model() -> residual.Model:
+    s = np.arange(residual.SIGNS)
+    encoder, decoder = np.zeros((residual.SIGNS, 4), np.float32), np.zeros((residual.SIGNS, 4), np.int16)
+    encoder[s, s % 4] = 0.001 + (s % 7) * 0.0001
+    decoder[s, s % 4] = 1 + s % 3
+    return residual.Model(4, 1, _STEP, encoder, decoder)
+
+
+_RESIDUAL = f"""
+v AS (SELECT vec_id AS doc_id, embedding[1:4] AS x, sqrt(embedding[1]::DOUBLE * embedding[1] + embedding[2]::DOUBLE * embedding[2] + embedding[3]::DOUBLE * embedding[3] + embedding[4]::DOUBLE * embedding[4]) AS n FROM embeddings),
+c AS (SELECT doc_id, j::INTEGER AS j, (x[j + 1]::DOUBLE / n)::FLOAT AS value FROM v, range(0, 4) t(j)),
+signs AS (
+  SELECT doc_id, j, j AS s, value AS rest FROM c
+  UNION ALL SELECT doc_id, j, s + 4, rest - (CASE WHEN rest >= 0 THEN 1 ELSE -1 END)::FLOAT * (0.001::DOUBLE + (s % 7) * 0.0001::DOUBLE)::FLOAT FROM signs WHERE s + 4 < 504
+),
+signed AS (SELECT doc_id, j, s, CASE WHEN rest >= 0 THEN 1 ELSE -1 END AS sign, 1 + s % 3 AS decoder FROM signs WHERE s < 500),
+norms AS (
+  SELECT doc_id, greatest(0, least(4095, round_even(1.0::DOUBLE / sqrt(sum(d * d)::DOUBLE) / {_STEP}::DOUBLE, 0) - 1))::BIGINT AS norm
+  FROM (SELECT doc_id, j, sum(sign * decoder)::BIGINT AS d FROM signed GROUP BY doc_id, j) GROUP BY doc_id
+),
+coded AS (
+  SELECT doc_id, s // 8 AS byte, sum(bit << (s % 8)::INTEGER)::INTEGER AS value FROM (
+    SELECT doc_id, s, (sign > 0)::INTEGER AS bit FROM signed UNION ALL SELECT doc_id, 500 + b, ((norm >> b::INTEGER) & 1)::INTEGER FROM norms, range(0, 12) t(b)
+  ) GROUP BY doc_id, s // 8
+),
+q AS (SELECT j, round_even(value::DOUBLE * 32767.0::DOUBLE, 0)::BIGINT AS q FROM c WHERE doc_id = 0),
+scored AS (SELECT doc_id, (sum(sign * decoder * q) * (1 + max(norm)))::BIGINT AS score FROM signed JOIN q USING (j) JOIN norms USING (doc_id) GROUP BY doc_id)
+"""
 
 
-def fitted(s: SparkSession, d: str) -> fit.Fit:
-    """One model a table and process; the fit is the offline step."""
-    if d not in _MODELS:
-        _MODELS[d] = fit.fit(corpora.embeddings(s, d), corpora.SIGN_DIMS)
-    return _MODELS[d]
+def _small(s, d) -> DataFrame:
+    return corpora.embeddings(s, d).select("doc_id", F.slice("embedding", 1, 4).alias("embedding"))
 
 
 def _encoded(s, d) -> DataFrame:
-    v = corpora.embeddings(s, d)
-    return v.select("doc_id", residual.encode_column(s, fitted(s, d).model, F.col("embedding")).alias("code"))
+    return _small(s, d).select("doc_id", residual.encode_column(s, fixed_model(), F.col("embedding")).alias("code"))
 
 
 def _prepared(s, d) -> residual.PreparedQuery:
-    v = corpora.embeddings(s, d).where(F.col("doc_id") == QUERY).select("embedding").first()
-    return fitted(s, d).model.prepare(np.array(v[0], np.float32))
+    return fixed_model().prepare(np.array(_small(s, d).where(F.col("doc_id") == QUERY).first().embedding, np.float32))
 
 
-@_add("residual_encode")
+@_add("residual_encode", f"WITH RECURSIVE {_RESIDUAL} SELECT doc_id, string_agg(printf('%02X', value), '' ORDER BY byte) AS code FROM coded GROUP BY doc_id")
 def _encode(s, d):
-    return _encoded(s, d)
+    return _encoded(s, d).select("doc_id", F.hex("code").alias("code"))
 
 
 @_add(
@@ -396,20 +507,28 @@ def _pack(s, d):
     return rows.select("doc_id", norm.alias("norm_code"), (ones - F.bit_count(norm)).alias("n_positive"))
 
 
-@_add("residual_score")
+@_add("residual_score", f"WITH RECURSIVE {_RESIDUAL} SELECT doc_id, score FROM scored")
 def _rscore(s, d):
     return _encoded(s, d).select("doc_id", residual.score_column(s, _prepared(s, d), F.col("code")).alias("score"))
 
 
-@_add("residual_search")
+_RTOP = "SELECT (row_number() OVER (ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM scored WHERE {} ORDER BY score DESC, doc_id LIMIT 10"
+
+
+@_add("residual_search", f"WITH RECURSIVE {_RESIDUAL} {_RTOP.format('true')}")
 def _rsearch(s, d):
     return search.row_search(_encoded(s, d), residual.score_column(s, _prepared(s, d), F.col("code")))
 
 
-@_add("residual_search_filtered")
+@_add("residual_search_filtered", f"WITH RECURSIVE {_RESIDUAL} {_RTOP.format('doc_id % 3 = 0 OR doc_id < 20')}")
 def _rsearch_filtered(s, d):
-    c = search.Corpus(_encoded(s, d), corpora.attrs(corpora.embeddings(s, d)), 512, residual=True)
-    return search.row_search(c.admitted(Or((Term(1), IdRange(0, 20)))), residual.score_column(s, _prepared(s, d), F.col("code")))
+    """Through a stored residual index."""
+    model = fixed_model()
+    v = _small(s, d)
+    tags = corpora.attrs(corpora.embeddings(s, d)).groupBy("doc_id").agg(F.collect_list("term").alias("terms"))
+    index = Index.create(s, _scratch(s), 512, model=model)
+    index.apply(v.join(tags, "doc_id").select(F.col("doc_id").alias("seq"), F.lit("put").alias("op"), "doc_id", "embedding", "terms"), model)
+    return index.search_vector(_prepared(s, d), 10, Or((Term(1), IdRange(0, 20))))
 
 
 @_add("fit_norm_calibration", "WITH v AS (SELECT 1.0::DOUBLE / sqrt(p_retailprice) AS inverse FROM part), r AS (SELECT min(inverse) AS lo, (max(inverse) - min(inverse)) / 4094.0::DOUBLE AS norm_step FROM v) SELECT round_even(lo / norm_step, 0)::BIGINT AS norm_offset, norm_step, (SELECT count(*) FILTER (WHERE round_even(inverse / norm_step, 0) - round_even(lo / norm_step, 0) NOT BETWEEN 0 AND 4095) FROM v)::BIGINT AS clipped FROM r")
@@ -439,16 +558,6 @@ def _applied(s, d) -> Index:
     return index
 
 
-def _scratch(s: SparkSession) -> str:
-    """A fresh folder where the cluster shares files, else a temporary one."""
-    shared = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()
-    if shared:
-        import uuid
-
-        return f"{shared.rstrip('/')}/bitlark-index-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="bitlark-index-")
-
-
 _LAST = f"""e AS (SELECT event_id AS seq, user_id AS doc_id, {_KIND} AS op FROM events),
 last AS (SELECT doc_id, max_by(op, seq) AS op, max(seq) AS seq FROM e WHERE op IN ('put', 'delete') GROUP BY doc_id)"""
 
@@ -471,11 +580,11 @@ def _attr(s, d):
     return _applied(s, d).all_attrs()
 
 
-@_add("block_stats", "SELECT (o_orderkey >> 16)::INTEGER AS block, min(bit_count(o_custkey))::INTEGER AS w_min, max(bit_count(o_custkey))::INTEGER AS w_max FROM orders GROUP BY 1")
+@_add("block_stats", f"WITH o AS ({_ORDER}) SELECT (doc_id >> 16)::INTEGER AS block, min(bit_count(w))::INTEGER AS w_min, max(bit_count(w))::INTEGER AS w_max, count(*)::BIGINT AS n FROM o GROUP BY 1")
 def _block_stats(s, d):
-    o = corpora.table(s, d, "orders")
-    docs = codes.stored(o.select(F.col("o_orderkey").alias("doc_id"), F.array("o_custkey").alias("words")), 64)
-    return docs.groupBy("block").agg(F.min("weight").alias("w_min"), F.max("weight").alias("w_max"))
+    index = _order_index(s, d)
+    index.refresh_stats()
+    return index.stats()
 
 
 @_add("stats_invalidation", f"WITH {_LAST} SELECT (doc_id * 1000 >> 16)::INTEGER AS block, bit_count(0)::INTEGER + min(bit_count(seq))::INTEGER AS w_min, max(bit_count(seq))::INTEGER AS w_max FROM last WHERE op = 'put' GROUP BY 1 HAVING (doc_id * 1000 >> 16)::INTEGER NOT IN (SELECT (doc_id * 1000 >> 16)::INTEGER FROM last WHERE op = 'put' AND doc_id % 97 = 0)".replace("HAVING (doc_id * 1000 >> 16)::INTEGER", "HAVING block"))
@@ -487,7 +596,7 @@ def _invalidated(s, d):
     index.refresh_stats()
     again = index.docs().where("doc_id % 97000 = 0").select(F.col("doc_id").alias("seq"), F.lit("put").alias("op"), "doc_id", F.array(F.expr("1L")).alias("words"))
     index.apply(again)
-    return index.stats()
+    return index.stats().drop("n")
 
 
 _REMAP = "WITH " + _LAST + ", live AS (SELECT doc_id, bit_count(seq) AS w FROM last WHERE op = 'put'), remap AS (SELECT row_number() OVER (ORDER BY w DESC, doc_id) - 1 AS new_id, doc_id AS old_id FROM live)"

@@ -1,9 +1,10 @@
 """Versioned indexes on Parquet.
 
 ``<root>/ns=<n>/manifest-<version>.json`` names immutable segments. A commit writes new segments and then
-publishes the next manifest by exclusive create, so a commit is atomic, two writers can't both win, and a reader
+publishes the next manifest whole and exclusively, so a commit is atomic, two writers can't both win, and a reader
 that holds a version reads the same files for ever. The newest record of a document or tag wins: reading is
-the base segments minus the ids of later ones plus their newest records; ``fold`` merges them into one base.
+the base segments minus the ids of later ones plus their newest records. A commit that would leave more than ``MERGE_AT`` later segments
+merges those (not the base) into one; ``fold`` merges all into one base.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ from ..operators import compaction, filters, search
 from .files import Files
 
 LAYOUT = 1
+#: More segments than this after the base are merged by the commit that makes them.
+MERGE_AT = 8
+STATS = "block int, w_min int, w_max int, n bigint"
+POSTINGS = "dim int, doc_id bigint, weight int"
 MUTATIONS = "seq long, op string, doc_id long, words array<long>, positions array<int>, embedding array<float>, terms array<int>"
 OPS = ("put", "delete", "attr", "unattr")
 
@@ -33,6 +38,7 @@ class Manifest:
     docs: tuple[str, ...] = ()  # oldest first
     attrs: tuple[str, ...] = ()
     stats: str | None = None
+    postings: str | None = None
     pending: dict | None = None
     batches: dict = field(default_factory=dict)
     next_seq: int = 0
@@ -153,13 +159,23 @@ class Index:
         base = read(names[0])
         if len(names) == 1:
             return base
+        newest = self._newest(names[1:], schema, keys)
+        return base.join(newest.select(*keys), keys, "left_anti").select(*base.columns).union(newest)
+
+    def _newest(self, names: tuple[str, ...], schema: str, keys: list[str]) -> DataFrame:
+        """Newest record of each key of some segments, deletions included."""
         later = None
-        for i, n in enumerate(names[1:]):
-            part = read(n).withColumn("_v", F.lit(i))
+        for i, n in enumerate(names):
+            part = self.spark.read.schema(schema).parquet(f"{self.path}/{n}").withColumn("_v", F.lit(i))
             later = part if later is None else later.union(part)
-        rest = [c for c in base.columns if c not in keys]
-        newest = later.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_v").alias("_r")).select(*keys, "_r.*").select(*base.columns)
-        return base.join(newest.select(*keys), keys, "left_anti").select(*base.columns).union(newest)
+        columns = [c for c in later.columns if c != "_v"]
+        rest = [c for c in columns if c not in keys]
+        return later.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_v").alias("_r")).select(*keys, "_r.*").select(*columns)
+
+    def _merged(self, kind: str, names: tuple[str, ...], schema: str, keys: list[str]) -> tuple[str, ...]:
+        if len(names) <= MERGE_AT + 1:
+            return names
+        return names[0], self._segment(kind, self._newest(names[1:], schema, keys).sortWithinPartitions(*keys))
 
     def docs(self) -> DataFrame:
         """Live documents."""
@@ -170,14 +186,33 @@ class Index:
         return self._resolved(self.manifest.attrs, "doc_id bigint, term int, live boolean", ["doc_id", "term"]).where("live").drop("live")
 
     def stats(self) -> DataFrame:
-        schema = "block int, w_min int, w_max int"
         if not self.manifest.stats:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{self.manifest.stats}")
+            return self.spark.createDataFrame([], STATS)
+        return self.spark.read.schema(STATS).parquet(f"{self.path}/{self.manifest.stats}")
+
+    def postings(self) -> DataFrame | None:
+        """(dim, doc_id, weight) of every set bit, in files by dim; None where there are none for this version."""
+        return self.spark.read.schema(POSTINGS).parquet(f"{self.path}/{self.manifest.postings}") if self.manifest.postings else None
+
+    def terms(self, lo: int = 0, hi: int = codes.MAX_TERM + 1) -> DataFrame:
+        """(term, n): terms in [lo, hi) that are set on any document, and on how many."""
+        return self.all_attrs().where((F.col("term") >= lo) & (F.col("term") < hi)).groupBy("term").agg(F.count("*").alias("n"))
+
+    def lookup(self, *ids: int) -> DataFrame:
+        """The live documents among these ids; the ids reach the scan."""
+        return self.docs().where(F.col("doc_id").isin(list(ids)))
+
+    def contains(self, doc_id: int) -> bool:
+        return bool(self.lookup(doc_id).limit(1).count())
+
+    def max_doc_id(self) -> DataFrame:
+        """One row, max_doc_id: the greatest live id (null: none)."""
+        return self.docs().agg(F.max("doc_id").alias("max_doc_id"))
 
     def corpus(self) -> search.Corpus:
         """The pinned version as a searchable corpus."""
-        return search.Corpus(self.docs(), self.all_attrs(), self.manifest.dims, self.stats(), self.residual, self.manifest.version)
+        stats = self.stats() if self.manifest.stats else None
+        return search.Corpus(self.docs(), self.all_attrs(), self.manifest.dims, stats, self.residual, self.manifest.version, self.postings())
 
     def search(self, code=(), **options) -> search.Search:
         return self.corpus().search(code, **options)
@@ -207,6 +242,8 @@ class Index:
         Returns version, written and deleted (requests, counted even where an id was absent). A batch (writer
         name, number) that was committed before is skipped.
         """
+        if self.manifest.pending:
+            raise CompactionPending("acknowledge the compaction before anything is written")
         done = self.manifest.batches
         if batch and done.get(batch[0], -1) >= batch[1]:
             return {"version": self.manifest.version, "written": 0, "deleted": 0, "skipped": True}
@@ -217,20 +254,30 @@ class Index:
         counts = self._validate(mutations)
         last = mutations.where("op IN ('put', 'delete')").groupBy("doc_id").agg(F.max_by(F.struct("op", "words", "positions", "embedding"), "seq").alias("r")).select("doc_id", "r.*")
         puts = self._encoded(last.where("op = 'put'"), model).withColumn("live", F.lit(True))
-        gone = self.docs().join(last.where("op = 'delete'").select("doc_id"), "doc_id", "left_semi").withColumn("live", F.lit(False))
+        # a tombstone needs no more than the id, so the corpus isn't read
+        kinds = dict(puts.dtypes)
+        known = {"doc_id": F.col("doc_id"), "block": codes.block_of(F.col("doc_id")), "live": F.lit(False)}
+        gone = last.where("op = 'delete'").select(*[known.get(c, F.lit(None).cast(kinds[c])).alias(c) for c in puts.columns])
         tags = mutations.where("op <> 'delete' AND terms IS NOT NULL").select("seq", "doc_id", F.explode("terms").alias("term"), (F.col("op") != "unattr").alias("live"))
         # within one seq the last listed operation wins; ids repeat only by caller error
         tags = tags.groupBy("doc_id", "term").agg(F.max_by("live", "seq").alias("live"))
         docs, attrs = self.manifest.docs, self.manifest.attrs
         stats = self.manifest.stats
         if counts.puts or counts.deletes:
-            docs += (self._segment("docs", puts.union(gone.select(*puts.columns)).sortWithinPartitions("doc_id")),)
+            docs += (self._segment("docs", puts.union(gone).sortWithinPartitions("doc_id")),)
             if stats:
-                touched = self.spark.read.schema(self._docs_schema()).parquet(f"{self.path}/{docs[-1]}").select("block").distinct()
+                made = self.spark.read.schema(self._docs_schema()).parquet(f"{self.path}/{docs[-1]}")
+                touched = made.where("live").select("block")
+                if counts.deletes:  # only ids that were there touch their blocks
+                    touched = touched.union(self.docs().select("doc_id", "block").join(made.where("NOT live").select("doc_id"), "doc_id", "left_semi").select("block"))
+                touched = touched.distinct()
                 stats = self._segment("stats", self.stats().join(touched, "block", "left_anti"))
+            docs = self._merged("docs", docs, self._docs_schema(), ["doc_id"])
         if counts.tagged:
             attrs += (self._segment("attrs", tags.select("doc_id", F.col("term").cast("int").alias("term"), "live").sortWithinPartitions("term", "doc_id")),)
-        nxt = replace(self.manifest, version=self.manifest.version + 1, docs=docs, attrs=attrs, stats=stats, batches=done | ({batch[0]: batch[1]} if batch else {}))
+            attrs = self._merged("attrs", attrs, "doc_id bigint, term int, live boolean", ["doc_id", "term"])
+        postings = self.manifest.postings if docs == self.manifest.docs else None
+        nxt = replace(self.manifest, version=self.manifest.version + 1, docs=docs, attrs=attrs, stats=stats, postings=postings, batches=done | ({batch[0]: batch[1]} if batch else {}))
         return {"version": self._publish(nxt), "written": counts.puts, "deleted": counts.deletes, "skipped": False}
 
     def _validate(self, m: DataFrame):
@@ -264,7 +311,7 @@ class Index:
             if t is not None:
                 codes.check_term(t)
         if r.sparse:
-            raise InvalidArgument("sparse positions must be strictly ascending")
+            raise InvalidArgument("positions of a sparse code have to grow from one to the next")
         if (r.width or 0) > last // 64 or (r.top is not None and r.top >= last):
             raise codes.DimensionMismatch(self.manifest.dims, max(64 * (r.width or 0), (r.top or 0) + 1))
         return r
@@ -281,9 +328,21 @@ class Index:
         return codes.stored(puts.select("doc_id", F.when(F.col("positions").isNotNull(), sparse).otherwise(F.col("words")).alias("words")), dims)
 
     def refresh_stats(self) -> int:
-        table = self.docs().groupBy("block").agg(F.min("weight").alias("w_min"), F.max("weight").alias("w_max"))
+        """Weight range and number of documents of each block. Residual codes have no such bound: nothing is written, the version stays."""
+        if self.residual:
+            return self.manifest.version
+        table = self.docs().groupBy("block").agg(F.min("weight").alias("w_min"), F.max("weight").alias("w_max"), F.count("*").alias("n"))
         return self._publish(replace(self.manifest, version=self.manifest.version + 1, stats=self._segment("stats", table)))
 
+    def refresh_postings(self) -> int:
+        """Stored postings for the inverted path; the next change of documents drops them."""
+        if self.residual:
+            return self.manifest.version
+        docs = self.docs()
+        rows = docs.select(F.explode(codes.positions_of(docs, self.manifest.dims)).alias("dim"), "doc_id", "weight")
+        name = self._segment("postings", rows.repartitionByRange("dim", "doc_id").sortWithinPartitions("dim", "doc_id"))
+        return self._publish(replace(self.manifest, version=self.manifest.version + 1, postings=name))
+
     def fold(self) -> int:
         """Merges all segments into one base each; ids and answers stay."""
         docs = self._segment("docs", self.docs().withColumn("live", F.lit(True)).repartitionByRange("doc_id").sortWithinPartitions("doc_id"))
@@ -296,10 +355,9 @@ class Index:
         """(source version, map new_id/old_id). Asked again while pending it gives the same map."""
         p = self.manifest.pending
         if not p:
-            if self.residual:
-                docs = self.docs().withColumn("weight", F.lit(0))
-            else:
-                docs = self.docs()
+            docs = self.docs()
+            if self.residual:  # by set bits of the stored row
+                docs = docs.withColumn("weight", codes.binary_weight(F.col("code"), residual.CODE_BYTES))
             name = self._segment("remap", compaction.remap(docs).repartitionByRange("new_id").sortWithinPartitions("new_id"))
             table = self._remap(name)
             moved = self.docs().withColumnRenamed("doc_id", "old_id").join(table, "old_id")
@@ -309,7 +367,7 @@ class Index:
             new_docs = self._segment("docs", moved.repartitionByRange("doc_id").sortWithinPartitions("doc_id"))
             new_attrs = self._segment("attrs", compaction.retag(self.all_attrs(), table).withColumn("live", F.lit(True)).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"))
             p = {"source": self.manifest.version, "remap": name}
-            self._publish(replace(self.manifest, version=self.manifest.version + 1, docs=(new_docs,), attrs=(new_attrs,), stats=None, pending=p))
+            self._publish(replace(self.manifest, version=self.manifest.version + 1, docs=(new_docs,), attrs=(new_attrs,), stats=None, postings=None, pending=p))
         table = self._remap(p["remap"])
         compaction.check_remap(table)
         return p["source"], table
@@ -328,11 +386,11 @@ class Index:
         names = files.names(self.path)
         versions = sorted(int(n[9:-5]) for n in names if n.startswith("manifest-"))
         kept = [Manifest.from_json(files.read(f"{self.path}/{_name(v)}")) for v in versions[-keep:]]
-        used = {s for m in kept for s in (*m.docs, *m.attrs, m.stats, (m.pending or {}).get("remap"))}
+        used = {s for m in kept for s in (*m.docs, *m.attrs, m.stats, m.postings, (m.pending or {}).get("remap"))}
         for v in versions[:-keep]:
             files.delete(f"{self.path}/{_name(v)}")
         for n in names:
-            if n.split("-")[0] in ("docs", "attrs", "stats", "remap") and n not in used:
+            if n.split("-")[0] in ("docs", "attrs", "stats", "postings", "remap") and n not in used:
                 files.delete(f"{self.path}/{n}")
 
 
