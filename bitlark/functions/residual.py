@@ -29,6 +29,8 @@ QUERY_SCALE = 32767.0
 MODEL_VERSION = 1
 MODEL_MAGIC = b"BLRKRES1"
 HEADER = struct.Struct("<8sHHHHI32sqd")
+#: Documents that are encoded together, so that their residues stay in a core's cache.
+COLUMNS = 128
 _I64 = (1 << 63) - 1
 
 
@@ -146,15 +148,21 @@ class Model:
 
     def signs_of(self, x: np.ndarray) -> np.ndarray:
         """bool [n, 500]. Dots are float32 sums in component order, so a sign never depends on the batch."""
-        rest = np.ascontiguousarray(normalize(x, self.dims).T)  # [dims, n]
-        out = np.zeros((SIGNS, rest.shape[1]), bool)
-        for s in range(SIGNS):
-            atom = self.encoder[s][:, None]
-            # cumsum adds strictly one after another
-            dot = np.cumsum(rest * atom, axis=0, dtype=np.float32)[-1]
-            out[s] = dot >= 0
-            rest -= np.where(out[s], np.float32(1), np.float32(-1)) * atom
-        return out.T
+        unit = normalize(x, self.dims)
+        out = np.zeros((len(unit), SIGNS), bool)
+        for at in range(0, len(unit), COLUMNS):
+            part = unit[at : at + COLUMNS]
+            # two columns at least: then rows are added one after another, never in pairs
+            rest = np.zeros((self.dims, max(2, len(part))), np.float32)
+            rest[:, : len(part)] = part.T
+            made = np.empty_like(rest)
+            for s in range(SIGNS):
+                atom = self.encoder[s][:, None]
+                dot = np.add.reduce(np.multiply(rest, atom, out=made), axis=0)
+                plus = dot >= 0
+                out[at : at + len(part), s] = plus[: len(part)]
+                rest -= np.multiply(atom, np.where(plus, np.float32(1), np.float32(-1)), out=made)
+        return out
 
     def encode(self, x: np.ndarray) -> np.ndarray:
         """uint8 [n, 64]."""

@@ -180,34 +180,50 @@ class Search:
                 return found
         return []
 
+    @cached_property
+    def _floor(self) -> metrics.Score | None:
+        return self.threshold() if self.prune else None
+
     def _candidates(self) -> DataFrame:
-        """The admitted documents that can be among the best k; without ``prune`` all."""
-        rows = self._admitted()
-        tau = self.threshold() if self.prune else None
+        """The admitted documents whose weight, and whose block, can be among the best k; without ``prune`` all."""
+        rows, tau = self._admitted(), self._floor
         if tau is None:
             return rows
         span = metrics.weight_range(self.metric, tau, self.m)
         if span:  # literals, so Parquet skips row groups of weight-sorted files
             rows = rows.where(F.col("weight").between(*span))
         if self.corpus.stats is not None:
-            # exact integers: num / den < tau
-            worse = F.col("num").cast("decimal(38,0)") * F.lit(tau.den) < F.col("den").cast("decimal(38,0)") * F.lit(tau.num)
-            rows = rows.join(self._block_best().where(worse).select("block"), "block", "left_anti")
+            rows = rows.join(self._block_best().where(_below(tau)).select("block"), "block", "left_anti")
         return rows
 
+    def _reaching(self, rows: DataFrame) -> DataFrame:
+        """Rows whose intersection reaches the floor by the bound of their block's least weight (0 where it is unknown)."""
+        tau = self._floor
+        if tau is None:
+            return rows
+        rows = rows.withColumn("block", codes.block_of(F.col("doc_id")))
+        if self.corpus.stats is not None:
+            rows = rows.join(self.corpus.stats.select("block", F.col("w_min").alias("_w_min")), "block", "left")
+        else:
+            rows = rows.withColumn("_w_min", F.lit(0))
+        num, den = metrics.bound_columns(self.metric, F.col("inter"), self.m, F.coalesce("_w_min", F.lit(0)))
+        return rows.withColumns({"num": num, "den": den}).where(~_below(tau)).select("doc_id", "weight", "inter")
+
     def frame(self) -> DataFrame:
         """The hits in rank order (``HIT``)."""
         if self.corpus.residual:
             raise BinarySearchOnResidualIndex("this index holds residual codes")
         if self.path == "auto" and self.planned()[0] == "inverted":
             return replace(self, path="inverted").frame()
-        return hits(self._top(self._score(self._intersected(self._candidates()))), self.metric)
+        return hits(self._top(self._score(self._reaching(self._intersected(self._candidates())))), self.metric)
 
     # -- reports ---------------------------------------------------------------
 
     def scan_stats(self) -> DataFrame:
-        """One row: scored documents, blocks they are in, other live blocks (nothing admitted, or pruned), resumes and versions of the pinned answer."""
-        rows = self._candidates().agg(F.count("*").alias("scored"), F.count_distinct(codes.block_of(F.col("doc_id"))).alias("blocks_visited"))
+        """One row: documents that are scored and ranked, blocks that are read, other live blocks (nothing admitted, or pruned), resumes and versions of the pinned answer."""
+        rows = self._candidates()
+        scored = self._reaching(self._intersected(rows)).agg(F.count("*").alias("scored")) if self._floor else rows.agg(F.count("*").alias("scored"))
+        rows = rows.agg(F.count_distinct(codes.block_of(F.col("doc_id"))).alias("blocks_visited")).crossJoin(scored)  # one row each
         live = self.corpus.docs.agg(F.count_distinct(codes.block_of(F.col("doc_id"))).alias("blocks"))
         return rows.crossJoin(live).select(  # one row each
             "scored",
@@ -219,6 +235,11 @@ class Search:
         )
 
 
+def _below(tau: metrics.Score) -> Column:
+    """num / den < tau, in exact integers."""
+    return F.col("num").cast("decimal(38,0)") * F.lit(tau.den) < F.col("den").cast("decimal(38,0)") * F.lit(tau.num)
+
+
 def _relational(docs: DataFrame, positions: list[int], dims: int) -> DataFrame:
     """Postings of the query's bits, counted by document; documents without one come back with 0."""
     wanted = F.array(*[F.lit(p) for p in positions]).cast("array<int>") if positions else F.array().cast("array<int>")

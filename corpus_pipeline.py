@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from bitlark.llm import decontam, line_dedup, mixing, near_dup, quality
-from bitlark.llm.common import written
+from bitlark.llm.common import discard, scratch, work_path, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Work tables of a stage, and its input, go when its result is written; those of the last stage stay for its lazy result."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = work_path(spark, f"pipeline-{name}")
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), name, path)
+        discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

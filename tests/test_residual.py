@@ -125,3 +125,21 @@ def test_raw_vectors(spark, tmp_path):
     assert [r.embedding for r in got] == x.tolist()
     with pytest.raises(errors.InvalidArgument):
         read_f32(spark, str(tmp_path / "v"), 7)
+
+
+def test_signs_are_sums_in_order():
+    """Against one document at a time and one addition at a time, for every size of a block."""
+    rng = np.random.default_rng(9)
+    model = residual.Model(7, 10, 1e-4, rng.normal(size=(500, 7)).astype(np.float32), rng.integers(-5, 6, (500, 7)).astype(np.int16))
+    x = rng.normal(size=(residual.COLUMNS + 3, 7)).astype(np.float32)
+    signs = model.signs_of(x)
+    for n in (1, 2, 5, residual.COLUMNS, residual.COLUMNS + 1):
+        assert (model.signs_of(x[:n]) == signs[:n]).all()
+    for i in (0, 1, residual.COLUMNS, residual.COLUMNS + 2):
+        rest = residual.normalize(x[i : i + 1], 7)[0]
+        for s in range(500):
+            dot = np.float32(0)
+            for a, b in zip(rest, model.encoder[s], strict=True):
+                dot = np.float32(dot + np.float32(a * b))
+            assert signs[i, s] == (dot >= 0)
+            rest = rest - (np.float32(1) if dot >= 0 else np.float32(-1)) * model.encoder[s]

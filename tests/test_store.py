@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from bitlark import errors
+from bitlark.errors import CompactionPending, WriterStopped
 from bitlark.functions import codes, fit
 from bitlark.operators import filters as f
 from bitlark.sources.store import MUTATIONS, Index, with_consistency
@@ -195,3 +197,85 @@ def test_residual_index(spark, tmp_path):
     with pytest.raises(errors.ModelMismatch):
         index.apply(puts, other)
     assert index.count(f.Term(1)) == 27
+
+
+def _word_rows(spark, ids, bits=lambda i: i):
+    return spark.createDataFrame([(n, "put", i, [bits(i)]) for n, i in enumerate(ids)], "seq long, op string, doc_id long, words array<long>")
+
+
+def test_nothing_is_written_while_a_compaction_is_pending(spark, tmp_path):
+    index = Index.create(spark, str(tmp_path), 64)
+    index.apply(_word_rows(spark, range(5)))
+    source, _ = index.compact()
+    with pytest.raises(CompactionPending):
+        index.apply(_word_rows(spark, [9]))
+    index.acknowledge(source)
+    assert index.apply(_word_rows(spark, [9]))["written"] == 1
+
+
+def test_many_commits_are_merged(spark, tmp_path):
+    from bitlark.sources import store
+
+    index = Index.create(spark, str(tmp_path), 64)
+    live = {}
+    for i in range(store.MERGE_AT + 4):
+        index.apply(spark.createDataFrame([(0, "put", i, [i + 1]), (1, "put", 100, [i]), (2, "delete", i - 2, None)], "seq long, op string, doc_id long, words array<long>"))
+        live |= {i: i + 1, 100: i}
+        live.pop(i - 2, None)
+    assert len(index.manifest.docs) <= store.MERGE_AT + 1
+    assert {r.doc_id: r.w0 for r in index.docs().collect()} == live
+    assert index.contains(100) and not index.contains(0) and index.max_doc_id().first()[0] == 100
+
+
+def test_residual_index_compacts_by_set_bits(spark, tmp_path):
+    from bitlark.plans.registry import fixed_model
+
+    model = fixed_model()
+    rng = np.random.default_rng(5)
+    rows = [(i, "put", 7 * i, [float(x) for x in rng.normal(size=4)]) for i in range(30)]
+    index = Index.create(spark, str(tmp_path), 512, model=model)
+    index.apply(spark.createDataFrame(rows, "seq long, op string, doc_id long, embedding array<float>"), model)
+    assert index.refresh_stats() == index.manifest.version == 1
+    bits = {r.doc_id: sum(bin(b).count("1") for b in r.code) for r in index.docs().collect()}
+    got = {r.new_id: r.old_id for r in index.compact()[1].collect()}
+    assert [got[i] for i in range(30)] == sorted(bits, key=lambda d: (-bits[d], d))
+
+
+def test_a_lost_writer_leaves_no_manifest(spark, tmp_path):
+    """A file that was begun but not published isn't seen; publishing is exclusive."""
+    index = Index.create(spark, str(tmp_path), 64)
+    index.apply(_word_rows(spark, [1]))
+    (tmp_path / "ns=1" / ".manifest-00000000000000000002.json-lost").write_bytes(b'{"layout"')
+    again = Index.open(spark, str(tmp_path))
+    assert again.manifest.version == 1 and again.apply(_word_rows(spark, [2]))["version"] == 2
+    with pytest.raises(WriterStopped):
+        index.apply(_word_rows(spark, [3]))
+
+
+def test_statistics_and_postings_change_work_not_answers(spark, tmp_path):
+    from bitlark.operators.filters import Ids
+
+    rng = np.random.default_rng(2)
+    words = {i * 9000: int(rng.integers(0, 2**62)) & int(rng.integers(0, 2**62)) for i in range(300)}
+    index = Index.create(spark, str(tmp_path), 64)
+    index.apply(_word_rows(spark, words, lambda i: words[i]))
+    q = (words[9000 * 8],)
+    plain = {m: index.search(q, metric=m).frame().collect() for m in ("dot", "hamming", "jaccard", "cosine")}
+    index.refresh_stats()
+    index.refresh_postings()
+    few = (words[9000 * 8] & 0xFFF,)
+    small = {m: index.search(few, metric=m, path="dense").frame().collect() for m in plain}
+    for m, want in plain.items():
+        assert index.search(q, metric=m, prune=True).frame().collect() == want
+        assert index.search(q, metric=m, path="inverted").frame().collect() == want
+        assert index.search(few, metric=m).frame().collect() == small[m]
+    assert index.search(few, metric="dot").planned()[0] == "inverted" and index.search(few).planned()[0] == "dense"
+    assert index.search(q, filter=Ids((1, 2))).planned()[0] == "gather" and index.search(q, path="dense").planned() == ("dense", "forced")
+    stats = index.search(q, metric="jaccard", prune=True).scan_stats().first()
+    assert stats.scored < 300 and stats.blocks_visited + stats.blocks_skipped == index.docs().select("block").distinct().count()
+    index.acknowledge(index.compact()[0])
+    assert index.postings() is None
+    index.refresh_stats()
+    again = index.search(q, metric="jaccard", prune=True)
+    assert [(r.num, r.den) for r in again.frame().collect()] == [(r.num, r.den) for r in plain["jaccard"]]
+    assert 10 <= again.scan_stats().first().scored <= stats.scored
