@@ -3,7 +3,7 @@
 Texts are normalised to words: A-Z lower-cased, a word is a run of ASCII letters, digits and code
 points from U+0080. A window is ``width`` consecutive words of a benchmark item; an item with fewer
 words, but not none, is one window. All windows of all items make one automaton over word numbers
-(a word's number is its place in the benchmark's vocabulary, 0 if it isn't there); a document's words are read
+(a word's number is its place in the benchmark's vocabulary, in digits); a document's words are read
 through it once. An occurrence is known by its last word; ``contaminated_spans`` maps words back to code points of
 the original text.
 
@@ -21,6 +21,7 @@ all documents clean, an empty table is an empty result. A doc_id may have any ty
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import uuid
@@ -35,8 +36,8 @@ from .common import WORD_BYTES, ascii_lower, written
 
 WIDTH = 10
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Memory of an automaton: bytes a node, measured, and bytes an item of a window.
-NODE_BYTES, OWNER_BYTES = 64, 64
+#: Memory of an automaton: bytes a word of a window (49 a digit were measured) and bytes an item of a window.
+NODE_BYTES, OWNER_BYTES = 128, 64
 BLOCK_BYTES = 256 << 20
 _NORMAL = bytes(int(b) or 32 for b in WORD_BYTES)
 
@@ -55,16 +56,24 @@ def windows(benchmark: DataFrame, width: int = WIDTH, id_col: str = "item_id", t
 
 
 class Machine:
-    """The automaton of a block of windows and its vocabulary."""
+    """The automaton of a block of windows and its vocabulary.
+
+    A word's number is written with as many digits as the vocabulary needs, so a node has 255 children at most (the library looks
+    through them one by one); the digit 0 is for words that the vocabulary lacks.
+    """
 
     def __init__(self, vocabulary: pa.Array, ids: np.ndarray, ends: np.ndarray, items: pa.Array) -> None:
         import ahocorasick
 
-        self.number = {w.encode("utf-8", "surrogatepass"): i + 1 for i, w in enumerate(vocabulary.to_pylist())}
-        self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        self.digits = 1
+        while 255**self.digits < len(vocabulary):
+            self.digits += 1
+        written_ = ["".join(chr(1 + i // 255**d % 255) for d in range(self.digits)) for i in range(len(vocabulary))]
+        self.code = {w.encode("utf-8", "surrogatepass"): c for w, c in zip(vocabulary.to_pylist(), written_, strict=True)}
+        self.machine = ahocorasick.Automaton()
         at = 0
         for end, item in zip(ends.tolist(), items.to_pylist(), strict=True):
-            key = tuple(ids[at:end].tolist())
+            key = "".join([written_[i] for i in ids[at:end].tolist()])
             known = self.machine.get(key, None)
             if known is None:
                 self.machine.add_word(key, (end - at, [item]))
@@ -81,10 +90,13 @@ class Machine:
         items: set[str | None] = set()
         if not words or not len(self.machine):
             return len(words), [], items
-        number = self.number
-        for last, (width, owners) in self.machine.iter(tuple([number.get(w, 0) for w in words])):
+        digits = self.digits
+        for last, (width, owners) in self.machine.iter("".join(map(self.code.get, words, itertools.repeat("\0" * digits)))):
+            end, inside = divmod(last + 1, digits)
+            if inside:  # digits of two words
+                continue
             items.update(owners)
-            first, end = last + 1 - width, last + 1
+            first = end - width
             while runs and runs[-1][0] >= first:  # a longer window that ends here
                 first = min(first, runs.pop()[0])
             if runs and runs[-1][1] >= first:
@@ -125,7 +137,7 @@ def _blocks(benchmark: DataFrame, width: int, block_bytes: int) -> Iterator[tupl
         w, items = (got[c].combine_chunks() for c in ("w", "item"))
         flat = w.flatten().dictionary_encode()
         ends = np.cumsum(np.diff(w.offsets.to_numpy())) if len(w) else np.zeros(0, np.int64)
-        sent = spark.sparkContext.broadcast((flat.dictionary, (flat.indices.to_numpy() + 1).astype(np.int32), ends, items))
+        sent = spark.sparkContext.broadcast((flat.dictionary, flat.indices.to_numpy().astype(np.int32), ends, items))
         key = uuid.uuid4().hex
 
         def machine(sent=sent, key=key) -> Machine:

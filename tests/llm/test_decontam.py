@@ -45,7 +45,7 @@ def test_against_brute_force(spark):
 def test_blocks_give_the_same(spark):
     rows, items, docs, bench = case(spark)
     one = {(r.doc_id, tuple(r.runs), tuple(sorted(r["items"]))) for r in decontam.scanned(docs, bench).collect()}
-    many = {(r.doc_id, tuple(r.runs), tuple(sorted(r["items"]))) for r in decontam.scanned(docs, bench, block_bytes=60_000).collect()}
+    many = {(r.doc_id, tuple(r.runs), tuple(sorted(r["items"]))) for r in decontam.scanned(docs, bench, block_bytes=120_000).collect()}
     assert one == many and any(r for _, r, _ in one)
 
 
@@ -80,7 +80,7 @@ def test_items_without_an_id(spark):
     for name, df in (("documents", docs.toPandas()), ("benchmark", bench.toPandas().astype({"item_id": "Int64"}))):
         con.register(name, df)
     assert sorted(con.execute(decontam.SQL).fetchall()) == want
-    many = decontam.scanned(docs, bench, block_bytes=1500).collect()
+    many = decontam.scanned(docs, bench, block_bytes=3000).collect()
     assert {r.doc_id: set(r["items"]) for r in many} == {1: {None}, 2: {None, "7"}, 3: {"7"}, 4: {None}, 5: set()}
     assert [r.doc_id for r in decontam.stage(docs, bench).collect()] == [5]
 
@@ -98,7 +98,7 @@ def test_ids_of_any_type_and_a_long_item(spark):
     long = [f"q{i}" for i in range(30_000)]
     bench = spark.createDataFrame([("a/1", " ".join(long)), ("b", "one two three")], "item_id string, text string")
     docs = spark.createDataFrame([("x/1", " ".join(long[-25:])), ("x/2", "say one two three"), (None, None)], "doc_id string, text string")
-    assert list(decontam._blocks(bench, 10, 8 << 20))[-1][1] == 3
-    got = {r.doc_id: (r.n_words, list(r.runs), list(r["items"])) for r in decontam.scanned(docs, bench, block_bytes=8 << 20).collect()}
+    assert list(decontam._blocks(bench, 10, 16 << 20))[-1][1] == 3
+    got = {r.doc_id: (r.n_words, list(r.runs), list(r["items"])) for r in decontam.scanned(docs, bench, block_bytes=16 << 20).collect()}
     assert got == {"x/1": (25, [0, 25], ["a/1"]), "x/2": (4, [1, 4], ["b"]), None: (0, [], [])}
     assert decontam.digest(docs, bench).schema["doc_id"].dataType.simpleString() == "string"
