@@ -18,10 +18,13 @@ Candidates. 25 bands of 5 components: a pair at 0.8 shares a bucket with probabi
 bucket nobody is compared with everybody. All members are verified against the bucket's hub, its member
 with most bucket neighbours over all bands (the original of a group of near copies is the one that most of
 them share most with), by exact multiset overlap of their whole texts, and components are formed. Only buckets
-that still hold several components go on: their members get a signature of 2,000 components (8 bits each), meet in
-blocks of 512 whose signatures are compared as arrays, and pairs of different components whose estimate lies
-within five standard deviations of the threshold are verified exactly, too. So no link inside a bucket is lost but for
-that margin, a bucket of thousands of near copies costs one comparison a member, and nothing is capped.
+that still hold several components go on, and their members meet once more, by an exact prefix filter. All occurrences of
+shingles (the i-th of a shingle is an element of its own) are ordered by the number of these documents that hold them, rarest first.
+Two documents of n and m elements that overlap by 0.8 share one of their first n - ceil(0.8 n) + 1 and
+m - ceil(0.8 m) + 1 elements, and after the first one they share enough must follow in both for the overlap (the
+positional bound). Documents that share boilerplate only begin with their own, rare elements and meet nobody, so a
+bucket of many different texts costs its shingles, not its pairs. Pairs of different components that meet are verified exactly. So
+no link inside a bucket is lost, a bucket of thousands of near copies costs one comparison a member, and nothing is capped.
 
 Scale: exact copies (equal word sequences) share one 64-bit node, so thousands of copies are one node
 from the start; band rows carry 16 bytes; texts travel for candidates only. Sketches and the edges of each
@@ -50,11 +53,6 @@ SHINGLE = 5
 BANDS, ROWS = 25, 5
 M = BANDS * ROWS
 THRESHOLD = 0.8
-BLOCK = 512
-#: Components of the signatures by which buckets of several components are searched.
-FINE = 2000
-#: Estimates this far below the threshold are still verified: five standard deviations.
-MARGIN = 5 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / FINE)
 _PLACE = np.array([pow(BASE, 3 * i + 1, 1 << 64) for i in range(SHINGLE)], np.uint64)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -156,10 +154,15 @@ def _sketch(batches):
 
 
 def _with_node(batches):
+    """(node, text), each node once a task, so a text of many copies is few rows before any shuffle."""
+    seen = np.zeros(0, np.int64)
     for batch in batches:
         nodes = [shingle_node(raw, offsets) for _, _, raw, offsets in text_slices(batch.column(0))]
         if nodes:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes).view(np.int64)), batch.column(0)], names=["node", "text"])
+            node, at = np.unique(np.concatenate(nodes).view(np.int64), return_index=True)
+            new = ~np.isin(node, seen)
+            seen = np.concatenate((seen, node[new]))
+            yield pa.RecordBatch.from_arrays([pa.array(node[new]), batch.column(0).take(pa.array(at[new]))], names=["node", "text"])
 
 
 def shingle_node(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -196,17 +199,18 @@ def overlaps(a: pa.Array, b: pa.Array) -> np.ndarray:
     return out
 
 
-def _fine(batches):
-    """(node, n, sig, keys): the long signature, a byte a component."""
+def _elements(batches):
+    """(node, label, n, els): the elements of a document, a hash of (shingle, occurrence) each."""
     for batch in batches:
-        counts, sigs = [], []
-        for _, _, raw, offsets in text_slices(batch.column(1)):
-            rows, h, n, _ = shingles(raw, offsets)
-            sig = bag_minhash(*counted(rows, h), len(n), FINE).astype(np.int64).astype(np.uint64)
-            sigs += [x.tobytes() for x in (mix(sig) >> np.uint64(56)).astype(np.uint8)]
-            counts.append(np.where(n >= SHINGLE, n - SHINGLE + 1, np.minimum(n, 1)))
-        if counts:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(counts).astype(np.int64)), pa.array(sigs, pa.binary()), batch.column(2)], names=["node", "n", "sig", "keys"])
+        for at, end, raw, offsets in text_slices(batch.column(2)):
+            rows, h, c = counted(*shingles(raw, offsets)[:2])
+            order = np.argsort(rows, kind="stable")
+            rows, h, c = rows[order], h[order], c[order]
+            turn = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+            els = mix(np.repeat(h, c) + turn.astype(np.uint64) * _GOLD).view(np.int64)
+            n = np.bincount(np.repeat(rows, c), minlength=end - at)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(els))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), batch.column(1).slice(at, end - at), pa.array(n), lists], names=["node", "label", "n", "els"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -250,58 +254,32 @@ def _plain(df: DataFrame, what: str) -> DataFrame:
     return written(df, what)
 
 
-def _residual(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs of different components that share a bucket and whose long signatures nearly agree."""
+def _residual(members: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of different components, among members of buckets of several, that pass the prefix filter and its positional bound."""
     known = written(members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "known")
-    mixed = (
-        known.groupBy("key")
-        .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"))
-        .where("lo <> hi")
-        .select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    )
-    left = written(known.join(mixed, "key"), "mixed")
-    keys = left.groupBy("node").agg(F.collect_set("key").alias("keys"))  # a key a band at most
-    sigs = texts.join(keys, "node").select("node", "text", "keys").mapInArrow(_fine, "node long, n long, sig binary, keys array<long>")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = (
-        left.withColumn("own", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label")
-        .join(sigs, "node")
+    mixed = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("top")).where("low <> top").select("key")
+    left = _plain(known.join(_plain(mixed, "mixed"), "key").select("node", "label").distinct(), "left")
+    bags = written(texts.join(left, "node").select("node", "label", "text").mapInArrow(_elements, "node long, label long, n long, els array<long>"), "bags")
+    each = bags.select("node", F.explode("els").alias("el"))
+    held = _plain(each.groupBy("el").agg(F.count("*").alias("df")).where("df > 1"), "held")
+    # elements that nobody else holds come first in the order and are only counted
+    order = each.join(held, "el").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "el"))).alias("order"))
+    prefix = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
+    own = F.col("n") - F.size("order")
+    posts = (
+        order.join(bags.select("node", "label", "n"), "node")
+        .select("node", "label", "n", own.alias("own"), F.slice("order", F.lit(1), F.greatest(prefix - own, F.lit(0)).cast("int")).alias("first"))
+        .select("node", "label", "n", "own", F.posexplode("first"))
+        # what may still be shared from here on, this element included
+        .select(F.col("col.el").alias("el"), "node", "label", "n", (F.col("n") - F.col("own") - F.col("pos")).alias("rest"))
     )
-    packed = dealt.groupBy("key", "i", "j").agg(F.collect_list(F.struct("own", "node", "label", "n", "sig", "keys")).alias("m")).where(F.size("m") > 1)
-
-    def run(batches):
-        for batch in batches:
-            out_a, out_b = [], []
-            ii, jj, lists, here = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), batch.column(3).to_pylist()
-            ends = lists.offsets.to_numpy()
-            flat = lists.values
-            own, node, label, n = (flat.field(k).to_numpy() for k in range(4))
-            raw = flat.field(4)
-            sig = np.frombuffer(raw.buffers()[2], np.uint8)[raw.offset * FINE : (raw.offset + len(raw)) * FINE].reshape(-1, FINE)
-            keys = flat.field(5)
-            for r in range(batch.num_rows):
-                s = slice(ends[r], ends[r + 1])
-                shared = [frozenset(k) for k in keys.slice(ends[r], ends[r + 1] - ends[r]).to_pylist()]
-                o, nd, lb, sz, sg = own[s], node[s], label[s], n[s], sig[s]
-                if ii[r] == jj[r]:
-                    left_, right = np.arange(len(nd)), np.arange(len(nd))
-                else:
-                    left_, right = np.flatnonzero(o == ii[r]), np.flatnonzero(o == jj[r])
-                for x in left_:
-                    y = right[(lb[right] != lb[x]) & (nd[right] > nd[x] if ii[r] == jj[r] else True)]
-                    y = y[np.minimum(sz[y], sz[x]) >= THRESHOLD * np.maximum(sz[y], sz[x])]
-                    if len(y):
-                        same = ((sg[y] == sg[x]).mean(1) - 1 / 256) / (1 - 1 / 256)  # 1 in 256 agree by chance
-                        # a pair is named once, in the least of the buckets that it shares
-                        y = np.array([z for z in y[same >= THRESHOLD - MARGIN] if min(shared[x] & shared[z]) == here[r]], np.int64)
-                        out_a += [nd[x]] * len(y)
-                        out_b += nd[y].tolist()
-            a, b = np.array(out_a, np.int64), np.array(out_b, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
-
-    return packed.select("i", "j", "m", "key").mapInArrow(run, "a long, b long")
+    posts = written(posts, "posts")
+    several = posts.groupBy("el").agg(F.min("label").alias("low"), F.max("label").alias("top")).where("low <> top").select("el")
+    posts = written(posts.join(_plain(several, "several"), "el"), "posts")
+    other = posts.select("el", *(F.col(c).alias(c + "2") for c in ("node", "label", "n", "rest")))
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("n2")) - 1e-9)
+    met = posts.join(other, "el").where("node > node2 AND label <> label2").where(F.least("rest", "rest2") >= need)
+    return met.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -324,9 +302,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts = written(texts.dropDuplicates(["node"]), "texts")
     first = _verified(pairs, texts, threshold)
     labels = components(first)
-    more = written(_residual(members, labels, texts), "rest")
-    second = _verified(more, texts, threshold) if more.limit(1).count() else None
-    if second is not None:
+    more = written(_residual(members, labels, texts, threshold), "rest")
+    second = _verified(more, texts, threshold)
+    if not second.isEmpty():
         labels = components(first.select("a", "b").union(second.select("a", "b")))
     rows = sketches.join(labels, "node", "left").select("doc_id", "node", "n", F.coalesce("label", "node").alias("class_node"))
     # written: a join of two plain tables may be split where a class is large

@@ -103,3 +103,15 @@ def test_stage_and_empty(spark):
     assert [d for d, _ in kept].count(5) == 1 and {d for d, _ in kept if d is not None} == (best | {8}) - {None}
     assert sum(1 for _, t in kept if not (t or "").strip() and t is not None) == 3  # documents without words stay
     assert near_dup.digest(df.limit(0)).count() == 0 and near_dup.stage(df.limit(0)).count() == 0
+
+
+def test_shared_boilerplate_makes_no_pairs(spark):
+    """Different texts around the same half meet in buckets, but their rare elements keep them apart."""
+    half = lorem(3, 120)
+    rows = [(i, " ".join([f"own{i}x{j}" for j in range(50)] + half)) for i in range(300)]
+    texts = frame(spark, rows).select("text").mapInArrow(near_dup._with_node, "node long, text string")
+    nodes = [r.node for r in texts.select("node").collect()]
+    members = spark.createDataFrame([(1, n) for n in nodes], "key long, node long")
+    labels = spark.createDataFrame([], "node long, label long")
+    assert len(nodes) == 300 and near_dup._residual(members, labels, texts, 0.8).count() == 0
+    assert near_dup.digest(frame(spark, rows)).where("doc_id <> class_id").count() == 0
