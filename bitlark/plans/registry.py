@@ -21,7 +21,7 @@ from ..operators import compaction, recall, search
 from ..operators.filters import All, And, Filter, IdRange, Ids, Not, Nothing, Or, Term
 from ..sources.store import Index
 from ..streaming.ingest import ingest, source
-from . import corpora
+from . import corpora, sqltable
 from .explain import explain
 
 QUERY = 0  # the document whose code is the query
@@ -195,6 +195,15 @@ for _m in metrics.METRICS:
         return c.search(q, metric=m).frame()
 
 
+for _m in metrics.METRICS:
+
+    @_add(f"sql_topk_{_m}", _hits_sql(_m, _SIGN))
+    def _sql_topk(s, d, m=_m):
+        c, q = _sign_query(s, d)
+        name = sqltable.register(c)
+        return s.sql(f"SELECT * FROM {name}({sqltable.literal(q)}, '{m}', 10)")
+
+
 @_add("hamming_distance", f"WITH {_SIGN} {_COUNTS} SELECT doc_id, (m + weight - 2 * inter)::INTEGER AS distance FROM x")
 def _hamming(s, d):
     c, q = _sign_query(s, d)

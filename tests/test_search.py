@@ -1,10 +1,13 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from bitlark import errors
 from bitlark.functions import codes, metrics
 from bitlark.operators import filters as f
+from bitlark.operators import recall
 from bitlark.operators.search import KERNELS, Corpus, search_batch
+from bitlark.plans import sqltable
 from tests.shapes import SHAPES, brute, corpus
 
 DIMS, N = 128, 60
@@ -94,6 +97,43 @@ def test_topk_plan_has_no_full_sort(spark):
     assert "TakeOrderedAndProject" in plan and "Python" not in plan
 
 
+@pytest.mark.parametrize("dims", [64, 100, 5000])
+def test_sql_table_function(spark, dims):
+    sets, c = made(spark, "sparse", dims=dims, n=30)
+    assert codes.is_wide(c.docs) == (dims == 5000)
+    name = sqltable.register(c, f"topk_{dims}")
+    for q in (sets[4], [], list(range(dims))):
+        words = [w | (~((1 << (dims - 64 * i)) - 1) & (2**64 - 1) if dims - 64 * i < 64 else 0) for i, w in enumerate(codes.to_words(q, dims))]
+        for metric in metrics.METRICS:
+            found = spark.sql(f"SELECT * FROM {name}({sqltable.literal(words)}, '{metric}', 6)")
+            assert got(found) == brute(sets, q, metric, 6)
+            assert [r.score for r in found.collect()] == [r.score for r in c.search(words, metric=metric, k=6).frame().collect()]
+    call = lambda rest: spark.sql(f"SELECT * FROM {name}({rest})").collect()
+    short = spark.sql(f"SELECT * FROM {name}(array(5L), 'dot', 3)")
+    assert got(short) == brute(sets, [0, 2], "dot", 3)
+    assert call("array(5L), 'dot', 0") == call("array(5L), 'dot', NULL") == call("NULL, 'dot', 3") == call("array(5L), NULL, 3") == []
+    for bad in (f"array_repeat(1L, {codes.words_for(dims) + 1}), 'dot', 3", "array(5L), 'euclid', 3"):
+        with pytest.raises(Exception, match="words|metric"):
+            call(bad)
+    plan = spark.sql(f"SELECT * FROM {name}(array(5L), 'jaccard', 3)")._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "Python" not in plan
+    with pytest.raises(errors.InvalidArgument):
+        sqltable.register(c, "no name")
+
+
+def test_float_truth_in_blocks_of_queries(spark):
+    x = np.random.default_rng(5).normal(size=(90, 8)).astype(np.float32)
+    x[40:50] = x[3]
+    v = spark.createDataFrame([(i, [float(y) for y in r]) for i, r in enumerate(x)], "doc_id long, embedding array<float>").repartition(5)
+    queries = v.where("doc_id % 9 = 3").withColumnRenamed("doc_id", "query_id")
+    wide = x.astype(np.float64)
+    wide /= np.linalg.norm(wide, axis=1, keepdims=True)
+    want = {(q, r + 1, int(d)) for q in range(3, 90, 9) for r, d in enumerate(np.lexsort((np.arange(90), -np.round(wide @ wide[q], 12)))[:7])}
+    for block in (1024, 4, 1):
+        assert {(r.query_id, r.rank, r.doc_id) for r in recall.float_truth(v, queries, 7, block).collect()} == want
+    assert recall.float_truth(v, queries.where("false"), 7).count() == recall.float_truth(v.where("false"), queries, 7).count() == 0
+
+
 def test_filter_algebra(spark):
     live = [0, 1, 2, 65534, 65535, 65536, 65537, 131072, 131073]
     tags = {1: {i for i in [*live, 3] if i % 3 == 0}, 2: {i for i in live if i % 2 == 0}}
