@@ -2,18 +2,18 @@
 
 A gear hash rolls over the normalised UTF-8 bytes of each text (words, A-Z lower-cased, one blank after each; places map back to the text):
 h = 2 h + G[byte] modulo 2**16, so it depends on the last 16 bytes; a word's hash leaves out what stands before the word. Of every ``WINDOW`` consecutive
-words the one of the least hash, of equal ones the last, begins a chunk (winnowing), so no chunk is longer than ``WINDOW`` words, repeated words
-included; an insertion moves only the cuts next to it. A chunk is known by a 64-bit digest of the ``WINDOW`` words from its start on (fewer at the text's end).
+words the one of the least hash, of equal ones the last, begins a chunk (winnowing), repeated words included; an insertion moves only the cuts next to it.
+A chunk is the ``LENGTH`` words from its cut on, known by a 64-bit digest, so chunks overlap; where a text has fewer words left no chunk begins.
 
-A chunk is repeated if texts of two doc_ids or more hold these words at a cut. Repeated chunks that follow each other in a document form a run; a run of at
-least ``MIN_WORDS`` words is a repeated passage. Windows inside a common passage choose the same words in every text, so of a passage
-of n words a run has its first cut among the first ``WINDOW`` words and reaches at least to word n - ``WINDOW``: n - 21 words or more. The least run of
-30 words therefore finds all repeats of over 50 words, whatever the words are, and a single repeated sentence isn't one. At most 10 words before a run and 11
-after it stay where they are, and a common passage of 31 to 50 words may be marked, depending on its cuts. The least doc_id that holds a chunk keeps it; other documents drop the chunks of their passages.
+A chunk is repeated if texts of two doc_ids or more hold it. Windows inside a common passage choose the same words in every text. So of every ``MIN_WORDS`` = 51 = ``WINDOW`` - 1 + ``LENGTH``
+common words one of the first ``WINDOW`` begins a chunk that lies within them: all repeats of over 50 words are found, whatever the words are,
+and nothing is marked but words that another document holds in a stretch of ``LENGTH`` = 44 or more. A common passage of 44 to 50 words may be marked, depending on its cuts.
+Repeated chunks that meet or overlap are one passage, which reaches to within ``WINDOW`` - 1 words of both its true ends; those words stay where they are. The least doc_id that
+holds a chunk keeps it; other documents drop it. Each word dropped stands in a document of a lesser doc_id, and at last in one that keeps it.
 
-Scale: digests, ids and places are shuffled, never texts (about 33 bytes of text make one row of 28). Counting combines on
+Scale: digests, ids and places are shuffled, never texts (about 27 bytes of text make one row of 32). Counting combines on
 the map side; the join back is a plain equi-join on the digest that adaptive execution may split where a passage is in a third of
-all documents. Runs are found per document from its repeated chunks only. Texts that lose passages are cut by a second scan.
+all documents. Passages are found per document from its repeated chunks only. Texts that lose passages are cut by a second scan.
 
 Edge cases: null and empty texts have no chunks; repeated rows of one doc_id are not a repeat across documents; a row without doc_id neither
 counts nor drops; an empty table gives an empty table. Ties (the same passage twice in one document) follow the same rule. Whole texts are chunked. Extra columns pass ``drop``.
@@ -29,8 +29,9 @@ from pyspark.sql import types as T
 
 from .common import WORD_BYTES, mix, span_hashes, text_slices, written
 
-WINDOW = 11
-MIN_WORDS = 30
+WINDOW = 8
+MIN_WORDS = 51
+LENGTH = MIN_WORDS - (WINDOW - 1)
 #: Gear table, from a rule.
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(0xFFFF)).astype(np.uint16)
 
@@ -54,20 +55,19 @@ def word_gear(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
 
 
 def cuts(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Words that begin a chunk; first: the first word of each row (n + 1). Every word of a row is in one chunk."""
+    """Words that begin a chunk; first: the first word of each row (n + 1)."""
     n = len(hashes)
-    heads = first[:-1][np.diff(first) > 0]
     if n < WINDOW:
-        return heads
+        return np.zeros(0, np.int64)
     # of equal hashes the later word is the less
-    key = (hashes.astype(np.int64) << 40) + (n - 1 - np.arange(n))
-    low = key
-    for reach in (1, 2, 4):
-        low = np.minimum(low[:-reach], low[reach:])
-    low = np.minimum(low[: n - WINDOW + 1], low[WINDOW - 8 :])
+    low = (hashes.astype(np.int64) << 40) + (n - 1 - np.arange(n))
+    reach, size = 1, 1
+    while size < WINDOW:
+        reach = min(size, WINDOW - size)
+        low, size = np.minimum(low[:-reach], low[reach:]), size + reach
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     chosen = low[row[: n - WINDOW + 1] == row[WINDOW - 1 :]]  # windows inside one row
-    return np.union1d(n - 1 - (chosen & ((1 << 40) - 1)), heads)
+    return np.unique(n - 1 - (chosen & ((1 << 40) - 1)))
 
 
 def normal(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,8 +80,8 @@ def normal(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.where(word, low, 32)[keep].astype(np.uint8), np.searchsorted(keep, offsets), keep
 
 
-def chunks(raw: np.ndarray, offsets: np.ndarray):
-    """Row, place in the row, digest, first byte in the row's text, bytes and words of each chunk."""
+def chunks(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, digest, and first and end byte in the row's text of each chunk, in order."""
     text, own, place = normal(raw, offsets)
     inside = text != 32
     edge = np.zeros(len(text) + 1, bool)
@@ -90,30 +90,23 @@ def chunks(raw: np.ndarray, offsets: np.ndarray):
     stops = np.flatnonzero(inside & (~np.concatenate((inside, [False]))[1:] | edge[1:])) + 1
     of_row = np.searchsorted(begins, own)
     at = cuts(word_gear(text, begins, stops) if len(text) else np.zeros(0, np.uint16), of_row)
-    first = np.searchsorted(at, of_row)
-    per_row = np.diff(first)
-    row = np.repeat(np.arange(len(per_row)), per_row)
-    which = np.arange(len(at)) - first[row]
-    words = np.diff(np.append(at, len(begins)))
-    starts = begins[at]
-    ends = np.append(starts[1:], len(text)) if len(starts) else starts
-    digest = span_hashes(text, starts, stops[np.minimum(at + WINDOW, of_row[1:][row]) - 1])
-    # the last byte of a chunk is followed by what stands before the next one
-    begin = place[starts] - offsets[row]
-    stop = np.where(ends == own[1:][row], np.diff(offsets)[row], place[np.minimum(ends, len(place) - 1)] - offsets[row]) if len(starts) else begin
-    return row, which, digest, begin, stop - begin, words
+    row = np.searchsorted(of_row, at, side="right") - 1
+    whole = at + LENGTH <= of_row[row + 1]
+    at, row = at[whole], row[whole]
+    starts, ends = begins[at], stops[at + LENGTH - 1]
+    return row, span_hashes(text, starts, ends), place[starts] - offsets[row], place[ends - 1] + 1 - offsets[row]
 
 
 def _rows(batches):
-    """doc_id, hash of the text, place, digest, first byte, bytes, words."""
+    """doc_id, hash of the text, digest, first byte, end."""
     for batch in batches:
         for at, end, raw, offsets in text_slices(batch.column(2)):
-            row, place, digest, start, size, words = chunks(raw, offsets)
+            row, digest, start, stop = chunks(raw, offsets)
             ids = batch.column(0).slice(at, end - at).take(pa.array(row))
             key = batch.column(1).slice(at, end - at).take(pa.array(row))
             yield pa.RecordBatch.from_arrays(
-                [ids, key, pa.array(place.astype(np.int32)), pa.array(digest.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(words.astype(np.int32))],
-                names=["id", "th", "place", "digest", "start", "size", "words"],
+                [ids, key, pa.array(digest.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))],
+                names=["id", "th", "digest", "start", "stop"],
             )
 
 
@@ -121,7 +114,7 @@ def _pairs(batches):
     """Digests of each text once."""
     for batch in batches:
         for at, end, raw, offsets in text_slices(batch.column(1)):
-            row, _, digest, _, _, _ = chunks(raw, offsets)
+            row, digest, _, _ = chunks(raw, offsets)
             order = np.lexsort((digest, row))
             row, digest = row[order], digest[order]
             new = np.concatenate(([True], (row[1:] != row[:-1]) | (digest[1:] != digest[:-1]))) if len(row) else np.zeros(0, bool)
@@ -143,10 +136,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     )
     seen = written(seen, "chunks")
     base = known.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    rows = base.mapInArrow(_rows, f"id {kind}, th long, place int, digest long, start int, size int, words int")
-    mine = rows.join(seen, "digest").groupBy("id", "th").agg(
-        F.array_sort(F.collect_set(F.struct("place", "start", "size", "words", "keeper"))).alias("c")
-    )
+    rows = base.mapInArrow(_rows, f"id {kind}, th long, digest long, start int, stop int")
+    mine = rows.join(seen, "digest").groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "keeper"))).alias("c"))
 
     def run(batches):
         for batch in batches:
@@ -154,29 +145,28 @@ def repeats(docs: DataFrame) -> DataFrame:
             ends = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten()
             doc = np.repeat(np.arange(len(ids)), ends)
-            place, start, size, words = (flat.field(i).to_numpy().astype(np.int64) for i in range(4))
+            start, stop = (flat.field(i).to_numpy().astype(np.int64) for i in range(2))
             # ids as numbers, so keepers of any type compare as arrays
-            both = pa.chunked_array([ids, flat.field(4)]).combine_chunks().dictionary_encode().indices.to_numpy()
+            both = pa.chunked_array([ids, flat.field(2)]).combine_chunks().dictionary_encode().indices.to_numpy()
             own, keeper = both[: len(ids)][doc], both[len(ids) :]
-            fresh = np.ones(len(doc), bool)
-            fresh[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1)
-            run_of = np.cumsum(fresh) - 1
-            long = np.bincount(run_of, weights=words, minlength=1)[run_of] >= MIN_WORDS if len(doc) else fresh
-            at = np.flatnonzero(long)
-            # a stretch: chunks of one run and one keeper
-            cut = np.ones(len(at), bool)
-            cut[1:] = (run_of[at[1:]] != run_of[at[:-1]]) | (keeper[at[1:]] != keeper[at[:-1]])
-            first = at[cut]
-            last = at[np.append(np.flatnonzero(cut)[1:], len(at)) - 1] if len(at) else at
+            apart = np.ones(len(doc), bool)
+            apart[1:] = (doc[1:] != doc[:-1]) | (start[1:] > stop[:-1])
+            # a stretch: chunks of one passage and one keeper; it ends where the next one of the passage begins
+            cut = apart.copy()
+            cut[1:] |= keeper[1:] != keeper[:-1]
+            first = np.flatnonzero(cut)
+            last = np.append(first[1:], len(doc)) - 1 if len(doc) else first
+            until = stop[last]
+            until[:-1] = np.where(apart[first[1:]], until[:-1], start[first[1:]])
             spans = pa.StructArray.from_arrays(
-                [pa.array(start[first], pa.int32()), pa.array(start[last] + size[last], pa.int32()), flat.field(4).take(pa.array(first)), pa.array(keeper[first] != own[first])],
+                [pa.array(start[first], pa.int32()), pa.array(until, pa.int32()), flat.field(2).take(pa.array(first)), pa.array(keeper[first] != own[first])],
                 names=["first", "stop", "keeper", "drop"],
             )
             offsets = np.concatenate(([0], np.cumsum(np.bincount(doc[first], minlength=len(ids)))))
             yield pa.RecordBatch.from_arrays([ids, batch.column(1), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)], names=["id", "th", "spans"])
 
     spans = f"id {kind}, th long, spans array<struct<first:int,stop:int,keeper:{kind},drop:boolean>>"
-    return mine.select("id", "th", "c").mapInArrow(run, spans).where(F.size("spans") > 0)
+    return mine.select("id", "th", "c").mapInArrow(run, spans)
 
 
 def drop(docs: DataFrame) -> DataFrame:
