@@ -15,16 +15,24 @@ def accumulator_levels(metric: str, m: int, dims: int) -> int:
 
 
 def explain(search: Search, stats: DataFrame | None = None) -> DataFrame:
-    """One row of facts; ``physical`` is Spark's own plan of the search."""
+    """One row of facts; ``physical`` is Spark's own plan of the search.
+
+    ``block_weight_spread`` is the mean spread of weights within a block, rounded down, ``weight_spread`` the spread over all blocks. Both are
+    of the blocks with statistics (null: none has any).
+    """
     c = search.corpus
     if c.residual:
         raise BinarySearchOnResidualIndex("this index holds residual codes")
     stats = stats if stats is not None else c.stats
     blocks = c.docs.agg(F.count_distinct(F.shiftright("doc_id", 16)).alias("blocks"))
     if stats is None:
-        facts = blocks.withColumns({"blocks_with_stats": F.lit(0).cast("long"), "block_weight_spread": F.lit(None).cast("int")})
+        facts = blocks.withColumns({"blocks_with_stats": F.lit(0).cast("long"), "block_weight_spread": F.lit(None).cast("int"), "weight_spread": F.lit(None).cast("int")})
     else:
-        spread = stats.agg(F.count("*").alias("blocks_with_stats"), F.floor(F.sum(F.col("w_max") - F.col("w_min")) / F.count("*")).cast("int").alias("block_weight_spread"))
+        spread = stats.agg(
+            F.count("*").alias("blocks_with_stats"),
+            F.floor(F.sum(F.col("w_max") - F.col("w_min")) / F.count("*")).cast("int").alias("block_weight_spread"),
+            (F.max("w_max") - F.min("w_min")).alias("weight_spread"),
+        )
         facts = blocks.crossJoin(spread)  # one row each
     path, reason = search.planned()
     ratio = search.metric in ("jaccard", "cosine")
@@ -41,6 +49,7 @@ def explain(search: Search, stats: DataFrame | None = None) -> DataFrame:
         "blocks",
         "blocks_with_stats",
         "block_weight_spread",
+        "weight_spread",
         F.lit("ratio key, exact as a double up to 65536 bits" if ratio else "integer key").alias("exactness"),
     )
 
